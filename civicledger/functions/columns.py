@@ -16,7 +16,7 @@ def lit_if(c) -> Column:
 
 def clean_text(c) -> Column:
     """Trim, collapse white space, and blank out the usual null words."""
-    s = F.trim(F.regexp_replace(lit_if(c).cast("string"), r"\s+", " "))
+    s = F.trim(F.regexp_replace(lit_if(c).cast("string"), r"(?U)\s+", " "))
     return F.when(s.isNull() | s.isin("nan", "None", "<NA>"), F.lit("")).otherwise(s)
 
 
