@@ -90,3 +90,11 @@ def _latest(spark: SparkSession, path: str, before: str) -> DataFrame | None:
         return None
     names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if s.getPath().getName() < before)
     return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back: a table used by several
+    branches is computed once, and its lineage is cut at data that survives lost executors."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
