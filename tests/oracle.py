@@ -22,7 +22,7 @@ def session() -> SparkSession:
     return (SparkSession.builder.master("local[8]").appName("oracle")
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-            .config("spark.log.level", "ERROR").getOrCreate())
+            .config("spark.log.level", "ERROR").config("spark.ui.showConsoleProgress", "false").getOrCreate())
 
 
 def duck(sf_dir: str):
