@@ -31,11 +31,17 @@ class Tables(dict):
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, AS_OF
 
     def __missing__(self, role: str) -> DataFrame:
-        df = (self.spark.read.parquet(f"{self.sf_dir}/{role}.parquet") if role in self.RAW
-              else getattr(self, "_" + role)())
+        df = self._raw(role) if role in self.RAW else getattr(self, "_" + role)()
         self[role] = df
         return df
 
+    def _raw(self, role: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{role}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if role == "documents" and df.rdd.getNumPartitions() < cores:      # heavy text work on one small file
+            df = df.repartition(cores)
+        return df
+
     # ---- geography -------------------------------------------------------------------------
     def _states(self):
         return (self["nation"].join(self["region"], F.col("n_regionkey") == F.col("r_regionkey"), "left")
