@@ -72,7 +72,7 @@ def cost_peers(signals: DataFrame, min_peers: int = fv.MIN_PEERS, levels=robust.
     """Signals with the chosen peer level and leave-one-out statistics (NULL for rows without a cost)."""
     base = staged(signals, "cost")
     priced = base.filter("x > 0")
-    chosen = robust.choose_level(priced, levels, min_peers)
+    chosen = staged(robust.choose_level(priced, levels, min_peers), "level")
     stats = robust.loo_robust_stats(chosen, priced, levels)
     return stats.unionByName(base.filter("x <= 0"), allowMissingColumns=True)
 

@@ -111,7 +111,7 @@ case = lambda d: "CASE engine " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 # ---- aggregation: engines missing by rule ----------------------------------------------------------------
 CTES["ms"] = (("risk_factors",), "SELECT project_id, engine_name AS engine, CASE WHEN (project_id + length(engine_name)) % 7 = 0 OR project_id % 101 = 0 THEN NULL ELSE score * 1.1::DOUBLE - 5 END AS score FROM risk_factors")
-CTES["mv"] = (("ms",), "SELECT *, least(greatest(score, 0.0), 100.0)::DOUBLE AS v FROM ms")
+CTES["mv"] = (("ms",), "SELECT *, CASE WHEN score IS NOT NULL THEN least(greatest(score, 0.0), 100.0) END::DOUBLE AS v FROM ms")
 AGG = {"RENORMALIZE": "sum(v * (0.2::DOUBLE / nullif(c * 0.2::DOUBLE, 0)))", "ZERO_FALLBACK": "sum(v * 0.2::DOUBLE)", "EXCLUDE": "sum(v * 0.2::DOUBLE)"}
 
 
