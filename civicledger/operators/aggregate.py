@@ -48,7 +48,7 @@ def aggregate_risk(wide: DataFrame, weights: dict[str, float] = fv.ENGINE_WEIGHT
     else:
         ew = {k: F.when(have[k], F.lit(weights[k])).otherwise(0.0) for k in names}
     raw = _add([F.coalesce(F.col(k), F.lit(0.0)) * ew[k] for k in names])
-    overall = F.when(n > 0, F.least(F.greatest(F.round(raw, 2), F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
+    overall = F.when(n > 0, F.least(F.greatest(F.round(F.round(raw, 9), 2), F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
     out = wide.withColumn("overall_risk_score", overall).withColumns({
         **{f"ew_{k}": F.when(n > 0, F.round(ew[k], 4)).otherwise(0.0) for k in names},
         "unavailable_engines": F.array_compact(F.array(*[F.when(~have[k], F.lit(k)) for k in names])),

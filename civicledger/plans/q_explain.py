@@ -122,7 +122,7 @@ def missing_rows(t):
 
 
 for _s in AGG:
-    @query(f"i30_aggregate_{_s.lower()}", sql(f"""WITH a AS (SELECT project_id, count(v) OVER (PARTITION BY project_id) AS c, v FROM mv), b AS (SELECT project_id, max(c) AS c, round(coalesce({AGG[_s]}, 0), 2)::DOUBLE AS s FROM a GROUP BY 1)
+    @query(f"i30_aggregate_{_s.lower()}", sql(f"""WITH a AS (SELECT project_id, count(v) OVER (PARTITION BY project_id) AS c, v FROM mv), b AS (SELECT project_id, max(c) AS c, round(round(coalesce({AGG[_s]}, 0), 9)::DECIMAL(14,9), 2)::DOUBLE AS s FROM a GROUP BY 1)
       SELECT project_id, s AS overall_risk_score, CASE WHEN s < 30 THEN 'LOW' WHEN s < 60 THEN 'MEDIUM' WHEN s < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level, 5 - c AS missing FROM b""", "mv"))
     def _(t, s=_s):
         return G.aggregate_risk(G.widen(missing_rows(t)), strategy=s).select("project_id", "overall_risk_score", "risk_level", F.size("unavailable_engines").alias("missing"))

@@ -59,7 +59,7 @@ def _(t):
     return R.cost_anomaly(t).select("project_id", "score", "risk_level", "triggered", "confidence")
 
 
-@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN round(x / dur, 2) END AS cost_per_day FROM cost1", "cost1"))
+@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN round((x / dur)::VARCHAR::DECIMAL(24,12), 2)::DOUBLE END AS cost_per_day FROM cost1", "cost1"))
 def _(t):
     return signals(t).select("project_id", F.col("x").alias("evaluated_cost"), "cost_metric_used", "project_duration_days", "cost_per_day")
 
@@ -72,10 +72,10 @@ def _(t):
     return robust.choose_level(signals(t).filter("x > 0"), robust.LEVELS, 600).select("project_id", "peer_scope", "peers")
 
 
-@query("i5_leave_one_out_stats", sql("""SELECT project_id, peers, round(med, 2) AS peer_median, round(q1, 2) AS q1, round(q3, 2) AS q3, round(dev, 2) AS deviation_pct, round(percentile, 2) AS percentile, round(mad, 2) AS mad, round(z, 3) AS robust_z FROM metrics""", "metrics"))
+@query("i5_leave_one_out_stats", sql("""SELECT project_id, peers, round(med, 4) AS peer_median, round(q1, 4) AS q1, round(q3, 4) AS q3, round(dev, 4) AS deviation_pct, round(percentile, 4) AS percentile, round(mad, 4) AS mad, round(z, 3) AS robust_z FROM metrics""", "metrics"))
 def _(t):
     d = R.cost_peers(signals(t)).filter("x > 0")
-    r = lambda c, k=2: F.round(c, k).alias(c)
+    r = lambda c, k=4: F.round(c, k).alias(c)
     return d.select("project_id", "peers", r("peer_median"), r("q1"), r("q3"), r("deviation_pct"), r("percentile"), r("mad"), r("robust_z", 3))
 
 
@@ -181,7 +181,7 @@ CTES["ag2"] = (("ag1",), f"""
     priced AND (coalesce(o > 10, false) OR coalesce(spent > sanc * 1.10, false) OR coalesce(spent > rel * 1.05, false)) AS odd, coalesce(abs(fin - phy) > 15, false) AS mism, phy IS NOT NULL AND fin IS NOT NULL AS measured FROM ag1""")
 CTES["ag3"] = (("ag2",), """
   SELECT agency_key, min(agency_name) AS agency_name, count(*) AS n, count(*) FILTER (delayed) AS dl, count(*) FILTER (scheduled) AS sc, count(*) FILTER (odd) AS od, count(*) FILTER (priced) AS pr, count(*) FILTER (mism) AS mi,
-    count(*) FILTER (measured) AS me, count(*) FILTER (comp) AS co, count(*) FILTER (delayed::INT + odd::INT + mism::INT >= 2) AS mu, coalesce(round(avg(sanc), 2), 0)::DOUBLE AS average_cost, coalesce(round(quantile_cont(sanc, 0.5), 2), 0)::DOUBLE AS median_cost,
+    count(*) FILTER (measured) AS me, count(*) FILTER (comp) AS co, count(*) FILTER (delayed::INT + odd::INT + mism::INT >= 2) AS mu, coalesce(round(avg(sanc), 2), 0)::DOUBLE AS average_cost, coalesce(round(quantile_cont(sanc, 0.5)::VARCHAR::DECIMAL(24,8), 2), 0)::DOUBLE AS median_cost,
     coalesce(round(avg(util), 1), 0)::DOUBLE AS average_utilization FROM ag2 GROUP BY 1""")
 CTES["ag4"] = (("ag3",), """
   SELECT *, CASE WHEN sc > 0 THEN round(dl / sc, 3) ELSE 0 END::DOUBLE AS delay_rate, CASE WHEN pr > 0 THEN round(od / pr, 3) ELSE 0 END::DOUBLE AS cost_anomaly_rate, CASE WHEN me > 0 THEN round(mi / me, 3) ELSE 0 END::DOUBLE AS mismatch_rate,
