@@ -97,10 +97,10 @@ class Tables(dict):
             "price", "custkey"))
 
     def _financials(self):
+        # whole paise times whole percent: exact in a long, where wide decimals would go through objects
+        paise, share = F.round(F.col("l_extendedprice") * 100).cast("bigint"), 100 - F.round(F.col("l_discount") * 100).cast("bigint")
         paid = (self["lineitem"].groupBy(F.col("l_orderkey").alias("project_id")).agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(14,2)") *
-                  (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")))
-            .cast("decimal(14,2)").alias("paid"),
+            (F.sum(paise * share).cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(14,2)").alias("paid"),
             F.to_date(F.max("l_shipdate")).alias("last_disbursement_date")))
         k, st = F.col("project_id"), F.col("current_status")
         p = self["projects"].select("project_id", "current_status", "price").join(paid, "project_id", "left")
