@@ -47,6 +47,7 @@ CTES["v1f"] = (("projects", "financials"), """
     coalesce(sanctioned_amount, 0)::DOUBLE AS s, released_amount::DOUBLE AS r, expenditure_amount::DOUBLE AS e FROM projects JOIN financials USING (project_id))))""")
 
 
+# This SQL covers the first peer level (state and sector), which every project reaches from scale 0.01 up.
 @query("i25_cost_anomaly_v1", sql("SELECT project_id, score FROM v1_cost", "v1_cost"))
 def _(t):
     return L.cost_anomaly_v1(t).select("project_id", "score")
