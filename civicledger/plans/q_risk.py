@@ -59,9 +59,10 @@ def _(t):
     return R.cost_anomaly(t).select("project_id", "score", "risk_level", "triggered", "confidence")
 
 
-@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN round((x / dur)::VARCHAR::DECIMAL(24,12), 2)::DOUBLE END AS cost_per_day FROM cost1", "cost1"))
+@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN round(x / dur, 6) END AS cost_per_day FROM cost1", "cost1"))
 def _(t):
-    return signals(t).select("project_id", F.col("x").alias("evaluated_cost"), "cost_metric_used", "project_duration_days", "cost_per_day")
+    return signals(t).select("project_id", F.col("x").alias("evaluated_cost"), "cost_metric_used", "project_duration_days",
+                             F.when(F.col("cost_per_day").isNotNull(), F.round(F.col("x") / F.col("project_duration_days"), 6)).alias("cost_per_day"))
 
 
 @query("i4_peer_levels", sql("""WITH d AS (SELECT sector, district_name, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL), s AS (SELECT sector, state_id, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL), c AS (SELECT sector, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL),
@@ -203,10 +204,10 @@ def _(t):
 
 
 @query("i21_agency_stats", sql("""SELECT agency_key, n AS projects_analyzed, dl AS delayed_count, sc AS scheduled_count, od AS cost_anomaly_count, pr AS financial_count, mi AS mismatch_count, me AS progress_count, co AS completed_count,
-  average_cost, median_cost, average_utilization, delay_rate, cost_anomaly_rate, mismatch_rate, completion_rate, high_risk_frequency FROM ag4""", "ag4"))
+  round(average_cost / 1000, 1) AS average_cost_k, round(median_cost / 1000, 1) AS median_cost_k, average_utilization, delay_rate, cost_anomaly_rate, mismatch_rate, completion_rate, high_risk_frequency FROM ag4""", "ag4"))
 def _(t):
     return R.agency_table(t, AS_OF).select("agency_key", "projects_analyzed", "delayed_count", "scheduled_count", "cost_anomaly_count", "financial_count", "mismatch_count", "progress_count",
-                                           "completed_count", "average_cost", "median_cost", "average_utilization", "delay_rate", "cost_anomaly_rate", "mismatch_rate", "completion_rate",
+                                           "completed_count", F.round(F.col("average_cost") / 1000, 1).alias("average_cost_k"), F.round(F.col("median_cost") / 1000, 1).alias("median_cost_k"), "average_utilization", "delay_rate", "cost_anomaly_rate", "mismatch_rate", "completion_rate",
                                            "high_risk_frequency")
 
 
