@@ -59,10 +59,10 @@ def _(t):
     return R.cost_anomaly(t).select("project_id", "score", "risk_level", "triggered", "confidence")
 
 
-@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN round(x / dur, 6) END AS cost_per_day FROM cost1", "cost1"))
+@query("i3_cost_signals", sql("SELECT project_id, x AS evaluated_cost, metric AS cost_metric_used, dur AS project_duration_days, CASE WHEN dur > 0 AND x > 0 THEN x / dur END AS cost_per_day FROM cost1", "cost1"))
 def _(t):
     return signals(t).select("project_id", F.col("x").alias("evaluated_cost"), "cost_metric_used", "project_duration_days",
-                             F.when(F.col("cost_per_day").isNotNull(), F.round(F.col("x") / F.col("project_duration_days"), 6)).alias("cost_per_day"))
+                             F.when(F.col("cost_per_day").isNotNull(), F.col("x") / F.col("project_duration_days")).alias("cost_per_day"))
 
 
 @query("i4_peer_levels", sql("""WITH d AS (SELECT sector, district_name, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL), s AS (SELECT sector, state_id, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL), c AS (SELECT sector, sum(w) AS n FROM cost1 WHERE x > 0 GROUP BY ALL),
