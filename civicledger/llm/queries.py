@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 from __future__ import annotations
 
-from civicledger.llm import exact_dedup, line_dedup, sharding
+from civicledger.llm import bpe, exact_dedup, line_dedup, packing, sharding
 from civicledger.llm.common import documents
 
 QUERIES = {
     "op1_line_dedup": lambda spark, sf_dir: line_dedup.op1(documents(spark, sf_dir)),
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.op2(documents(spark, sf_dir)),
+    "op6_packing": lambda spark, sf_dir: packing.op6(documents(spark, sf_dir)),
+    "op7_bpe": lambda spark, sf_dir: bpe.op7(documents(spark, sf_dir)),
     "op10_sharding": lambda spark, sf_dir: sharding.shard_documents(documents(spark, sf_dir)),
 }
 
