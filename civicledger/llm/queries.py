@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 from __future__ import annotations
 
-from civicledger.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, sharding
+from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, sharding
 from civicledger.llm.common import documents
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_minhash_near_dedup": lambda spark, sf_dir: near_dedup.op4(documents(spark, sf_dir)),
     "op6_packing": lambda spark, sf_dir: packing.op6(documents(spark, sf_dir)),
     "op7_bpe": lambda spark, sf_dir: bpe.op7(documents(spark, sf_dir)),
+    "op8_fingerprints": lambda spark, sf_dir: fingerprints.compare_with_next(documents(spark, sf_dir)),
     "op10_sharding": lambda spark, sf_dir: sharding.shard_documents(documents(spark, sf_dir)),
 }
 
