@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 from __future__ import annotations
 
-from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, sharding
+from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, sharding
 from civicledger.llm.common import documents
 
 QUERIES = {
     "op1_line_dedup": lambda spark, sf_dir: line_dedup.op1(documents(spark, sf_dir)),
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.op2(documents(spark, sf_dir)),
+    "op3_pii": lambda spark, sf_dir: pii.op3(documents(spark, sf_dir)),
     "op4_minhash_near_dedup": lambda spark, sf_dir: near_dedup.op4(documents(spark, sf_dir)),
+    "op5_quality_classifier": lambda spark, sf_dir: quality.op5(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op6_packing": lambda spark, sf_dir: packing.op6(documents(spark, sf_dir)),
     "op7_bpe": lambda spark, sf_dir: bpe.op7(documents(spark, sf_dir)),
     "op8_fingerprints": lambda spark, sf_dir: fingerprints.compare_with_next(documents(spark, sf_dir)),
