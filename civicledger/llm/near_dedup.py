@@ -20,8 +20,10 @@ GUARANTEED = 2 * CHUNKS - 1
 BLOCK = 1000                    # members of a bucket that one join key takes
 BROADCAST_IDS = 200_000         # ids up to which a filter on documents is broadcast; more go through a shuffle
 
+WIDE = 512                      # values of the longer signature that decides between members of a bucket
+
 _rng = np.random.default_rng(20)
-XORS, FACTORS = _rng.integers(0, 1 << 64, VALUES, U), _rng.integers(0, 1 << 64, VALUES, U) | U(1)
+XORS, FACTORS = _rng.integers(0, 1 << 64, WIDE, U), _rng.integers(0, 1 << 64, WIDE, U) | U(1)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +53,9 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[
     return h[new], row[new]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, values: int = VALUES) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash (set_a, set_b) of the shingle set and the b-bit MinHash signature
-    as one long per chunk (null for texts without words). One pass, no shuffle."""
+    as one long for 8 values (null for texts without words). One pass, no shuffle."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batches):
             h, row = shingle_sets(data, at)
@@ -61,16 +63,16 @@ def signatures(docs: DataFrame) -> DataFrame:
             n = np.bincount(row, minlength=rows)
             has = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[has]
-            sig = np.zeros((rows, VALUES), np.uint8)
+            sig = np.zeros((rows, values), np.uint8)
             a, b = np.zeros(rows, U), np.zeros(rows, U)
             if len(has):
                 a[has] = np.add.reduceat(mixed(h + U(1)), begin)
                 b[has] = np.add.reduceat(mixed(h ^ U(BASE)), begin)
-                for k in range(VALUES):
+                for k in range(values):
                     sig[has, k] = np.minimum.reduceat(((h ^ XORS[k]) * FACTORS[k]) >> U(32), begin).astype(np.uint8)
-            longs = pa.array(sig.view(np.int64).reshape(-1))
-            ends = np.append(0, np.cumsum(np.where(n > 0, CHUNKS, 0))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), longs.filter(pa.array(np.repeat(n > 0, CHUNKS))))
+            longs, per = pa.array(sig.view(np.int64).reshape(-1)), values // 8
+            ends = np.append(0, np.cumsum(np.where(n > 0, per, 0))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), longs.filter(pa.array(np.repeat(n > 0, per))))
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
                                              ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
@@ -88,40 +90,59 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(task, "doc_id long, shingles array<long>")
 
 
+def differing(x: Column, y: Column) -> Column:
+    """The lowest bit of every byte in which two longs differ."""
+    d = x.bitwiseXOR(y)
+    for s, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3F3F3F3F3F3F3F3F), (1, 0x7F7F7F7F7F7F7F7F)):
+        d = d.bitwiseOR(F.shiftrightunsigned(d, s).bitwiseAND(F.lit(mask)))
+    return d.bitwiseAND(F.lit(0x0101010101010101))
+
+
 def distance(x: str, y: str) -> Column:
-    """Signature values that differ: non-zero bytes of the chunks' exclusive or."""
-    ones = F.lit(0x0101010101010101)
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        d = F.col(x)[c].bitwiseXOR(F.col(y)[c])
-        for s in (4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s).bitwiseAND(F.lit({4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}[s])))
-        total = total + F.bit_count(d.bitwiseAND(ones))
-    return total
-
-
-def distance_limit(similarity: float, sigmas: float = 5.0) -> int:
+    """Signature values that differ."""
+    return sum((F.bit_count(differing(F.col(x)[c], F.col(y)[c])) for c in range(CHUNKS)), F.lit(0))
+
+
+def wide_distance(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(differing(a, b))), F.lit(0), lambda s, d: s + d)
+
+
+def first_key(x: str, y: str) -> Column:
+    """Number of the first index key that two signatures share: a pair meets in many buckets and is
+    looked at in this one only."""
+    def at(c: int) -> Column:
+        d = differing(F.col(x)[c], F.col(y)[c])
+        return F.when(F.bit_count(d) <= 1, c * PER_CHUNK + F.floor(F.bit_count(d - 1) / 8) % 8)
+    return F.coalesce(*[at(c) for c in range(CHUNKS)])
+
+
+def distance_limit(similarity: float, values: int, sigmas: float = 5.0) -> int:
     """Signature distance that a pair of the given similarity exceeds with a chance below one in a million."""
     p = (1 - similarity) * (1 - 1 / 256)
-    return max(GUARANTEED, int(VALUES * p + sigmas * sqrt(VALUES * p * (1 - p))))
+    return int(values * p + sigmas * sqrt(values * p * (1 - p)))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
     """(key, node): each chunk with each one of its values left out, so that two chunks with at most one
-    error share a key."""
+    error share a key. The low seven bits of a key are its number."""
     def without(i: int) -> Column:
         mask = (1 << 64) - 1 - (0xFF << 8 * i)
-        return F.xxhash64(F.col("c") * PER_CHUNK + i, F.col("v").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+        number = F.col("c") * PER_CHUNK + i
+        return F.xxhash64(number, F.col("v").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))).bitwiseAND(F.lit(-128)).bitwiseOR(number.cast("long"))
     return (classes.select("node", F.posexplode("sig").alias("c", "v"))
             .select("node", F.explode(F.array(*[without(i) for i in range(PER_CHUNK)])).alias("key")))
 
 
+def of_nodes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the given nodes. Few ids are broadcast after a count, many go through a shuffle."""
+    slim = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return texts(docs).withColumn("node", node_id()).join(slim, "node", "left_semi")
+
+
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) whose full sets satisfy 100 * intersection >= percent * union."""
-    ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "ids")
-    slim = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    d = texts(docs).withColumn("node", node_id())
-    sets = staged(full_sets(d.join(slim, "node", "left_semi").distinct()).withColumn("node", node_id()).select("node", "shingles"), "sets")
+    ids = staged(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct(), "ids")
+    sets = staged(full_sets(of_nodes(docs, ids)).withColumn("node", node_id()).select("node", "shingles"), "sets")
     sx, sy = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
     common = F.size(F.array_intersect("sx", "sy"))
     return (pairs.join(sy, "y").join(sx, "x").withColumn("__i", common)
@@ -139,11 +160,12 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     Equal shingle sets are one class from the start, however many rows hold them. Classes meet in
     buckets of the multi-index. In a bucket all members are first compared with its smallest member
     (as many pairs as members); once those links are components, only members of different components
-    are compared, in blocks of ``BLOCK`` members, and only pairs of suitable sizes and signature distance
-    leave the join. Every remaining pair is confirmed on full sets, so a link is never assumed.
+    are compared, in blocks of ``BLOCK`` members. A pair is looked at in its first common bucket and
+    leaves the join only with suitable sizes and distances of its signature and of a longer one, which is
+    made for such members alone. Every remaining pair is confirmed on full sets; no link is assumed.
 
     Guarantee: every pair with a signature distance up to ``GUARANTEED`` meets; a pair at the similarity
-    threshold misses all buckets with a chance of 3 in a million. Rows without words have no links and
+    threshold misses all buckets with a chance of 3 in a million, the distance limits with one of 2. Rows without words have no links and
     n_shingles 0. Rows with the same doc_id count as one document; a null doc_id is the smallest id and
     gives component_id null. Empty tables give no rows.
     """
@@ -153,8 +175,8 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     keys = index_keys(classes)
     buckets = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("__last"), F.count("*").alias("n")).filter("head < __last").drop("__last")
     members = staged(keys.join(buckets, "key"), "members")
-    traits = classes.select("node", F.col("n_shingles").alias("size"), "sig")
-    limit = distance_limit(percent / 100)
+    traits = classes.select("node", "set_a", F.col("n_shingles").alias("size"), "sig")
+    limit, wide_limit = (distance_limit(percent / 100, v) for v in (VALUES, WIDE))
 
     def close() -> Column:
         return ((100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")) & (distance("sig_x", "sig_y") <= limit))
@@ -168,13 +190,20 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = staged(named, "named")
     mixed_up = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = named.join(mixed_up, "key", "left_semi").filter("node <> head").join(traits, "node")
-    rest = staged(rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "rest")
-    x = rest.select("key", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"), F.col("sig").alias("sig_x"),
-                    F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    y = rest.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("size").alias("size_y"), F.col("sig").alias("sig_y"),
-                    F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    more = x.join(y, ["key", "block"]).filter((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & close())
+    rest = staged(named.join(mixed_up, "key", "left_semi").filter("node <> head")
+                  .select("key", "node", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "rest")
+    ids = staged(rest.select("node").distinct(), "ids")
+    wide = staged(signatures(of_nodes(docs, ids), WIDE).select(node_id().alias("node"), "set_a", F.col("sig").alias("wide")).dropDuplicates(["node", "set_a"]), "wide")
+    rest = rest.join(traits.join(wide, ["node", "set_a"]).drop("set_a"), "node")
+
+    def side(k: str, block: Column) -> DataFrame:
+        return rest.select("key", block.alias("block"), F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("label", "size", "sig", "wide")])
+
+    x = side("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = side("y", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    more = x.join(y, ["key", "block"]).filter(
+        (F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & close()
+        & (first_key("sig_x", "sig_y") == F.col("key").bitwiseAND(F.lit(127))) & (wide_distance("wide_x", "wide_y") <= wide_limit))
     more = staged(more.select("x", "y").distinct(), "pairs")
     if not more.isEmpty():
         links = staged(links.unionByName(confirm(docs, classes, more, percent)), "links")
@@ -188,3 +217,11 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 def op4(docs: DataFrame) -> DataFrame:
     g = near_groups(docs)
     return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose document stands for its group: the smallest doc_id. Only the ids that go
+    meet the documents again, broadcast if they are few, else in a join."""
+    gone = staged(near_groups(docs, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    slim = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(slim, F.col("doc_id") == F.col("__gone"), "left_anti")
