@@ -48,6 +48,17 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
             .groupBy("doc_id", "__th").agg(F.collect_set("__pos").alias("__drop")))
 
 
+def _kept_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``docs`` with __lines, __dropped (null where no line goes) and __kept, the text that stays."""
+    drop = dropped_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.col("__drop").alias("__dropped"))
+    d = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__th", F.xxhash64("__text"))
+    joined = d.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    positions = F.sequence(F.lit(0), F.size("__lines") - 1)
+    kept = F.transform(F.array_sort(F.array_except(positions, "__dropped")), lambda i: F.col("__lines")[i])
+    return (joined.withColumn("__lines", F.split("__text", "\n", -1))
+            .withColumn("__kept", F.when(F.col("__dropped").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text of every row.
 
@@ -56,15 +67,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     occurrences. Null or empty texts have one empty line. A null doc_id is smaller than any other (a
     line held only by rows without id stays). Repeated rows count as rows of their own.
     """
-    drop = dropped_positions(docs, min_chars, min_docs).withColumnRenamed("doc_id", "__id").withColumnRenamed("__th", "__h")
-    d = texts(docs).withColumn("__th", F.xxhash64("text"))
-    lines = F.split("text", "\n", -1)
-    positions = F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)
-    kept = F.transform(F.array_sort(F.array_except(positions, "__drop")), lambda i: F.col("__ls")[i])
-    joined = d.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
-    return (joined.withColumn("__ls", lines).withColumn("n_lines", F.size("__ls").cast("long"))
-            .select("doc_id", "n_lines", F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-                    F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")))
+    return _kept_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(
+        "doc_id", F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.col("__kept").alias("text"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with those lines taken out of the text. All rows stay, even where no line is left; a null
+    text stays null, other columns stay as they are, but n_chars follows the text."""
+    kept = _kept_lines(docs, min_chars, min_docs)
+    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
+    return kept.select(*[text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+                         else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 from __future__ import annotations
 
-from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, sharding
+import corpus_pipeline
+from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, sharding, suffixes
 from civicledger.llm.common import documents
 
 QUERIES = {
@@ -13,7 +14,9 @@ QUERIES = {
     "op6_packing": lambda spark, sf_dir: packing.op6(documents(spark, sf_dir)),
     "op7_bpe": lambda spark, sf_dir: bpe.op7(documents(spark, sf_dir)),
     "op8_fingerprints": lambda spark, sf_dir: fingerprints.compare_with_next(documents(spark, sf_dir)),
+    "op9_suffix_dedup": lambda spark, sf_dir: suffixes.op9(documents(spark, sf_dir)),
     "op10_sharding": lambda spark, sf_dir: sharding.shard_documents(documents(spark, sf_dir)),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
