@@ -156,8 +156,9 @@ def evidence_statements(rows: DataFrame) -> DataFrame:
     return rows.select("project_id", "engine", "score", F.explode(F.array_compact(arr)).alias("s")).select("project_id", "engine", "score", "s.*")
 
 
-def evidence_rows(rows: DataFrame) -> DataFrame:
-    """Evidence with actual value, reference value and unit, one row per project and engine."""
+def evidence_rows(rows: DataFrame, *carry: str) -> DataFrame:
+    """Evidence with actual value, reference value and unit, one row per project and engine, next to the
+    ``carry`` columns of the same row."""
     rows = with_details(rows)
     e = F.col("engine")
     g = lambda c: F.regexp_replace(F.round(c, 1).cast("string"), r"\.0$", "")
@@ -187,16 +188,18 @@ def evidence_rows(rows: DataFrame) -> DataFrame:
                .otherwise("Implementing agency historical track record is within normal parameters."))
     pick = lambda cost, delay, gap_, dup, ag: F.when(e == "cost_anomaly", cost).when(e == "delay_detection", delay).when(e == "progress_mismatch", gap_).when(e == "duplicate_detection", dup).otherwise(ag)
     return rows.select(
-        "project_id", "engine", pick(cost_text, delay_text, gap_text, dup_text, ag_text).alias("text"),
+        "project_id", "engine", *carry, pick(cost_text, delay_text, gap_text, dup_text, ag_text).alias("text"),
         pick(F.round(c / scale, 2), F.coalesce(days.cast("double"), F.lit(0.0)), F.round(fp, 1), F.coalesce(sim_pct, F.lit(0.0)), F.when(few, n).otherwise(F.coalesce(rate_pct, F.lit(0.0)))).alias("actual_value"),
         pick(F.round(m / scale, 2), F.lit(0.0), F.round(pp, 1), F.lit(85.0), F.when(few, 3.0).otherwise(50.0)).alias("reference_value"),
         pick(F.when(c.isNotNull(), unit), F.lit("days"), F.lit("percentage points"), F.lit("%"), F.when(few, "projects").otherwise("%")).alias("unit"))
 
 
 def why_flagged(rows: DataFrame, overall: DataFrame) -> DataFrame:
-    """Triggered factors with evidence lines and contribution points, as lists and as text."""
+    """Triggered factors with evidence lines and contribution points, as lists and as text. A stored
+    ``triggered`` flag decides where there is one, else a score of 30; factors below 20 never show."""
     pos = F.create_map(*[x for i, k in enumerate(FLAG_ORDER) for x in (F.lit(k), F.lit(i))])
-    trig = rows.filter((F.col("score") >= 30))
+    flag = F.coalesce("triggered", F.col("score") >= 30) if "triggered" in rows.columns else F.col("score") >= 30
+    trig = rows.filter(flag & (F.col("score") >= 20))
     st = evidence_statements(trig).withColumn("line", F.regexp_replace(F.regexp_replace("statement", r"\.$", ""), "^Project is delayed by ", "Delayed by "))
     st = st.withColumn("k", pos[F.col("engine")]).groupBy("project_id").agg(F.array_sort(F.collect_set(F.struct("k", "metric_key", "line"))).alias("ev"))
     pts = trig.withColumns({"k": pos[F.col("engine")], "label": lookup(FLAG_LABEL), "pts": fmt("%.1f points", F.round(F.col("score") * F.col("effective_weight"), 1))})
@@ -236,8 +239,7 @@ def decompose_stored(scores: DataFrame, factors: DataFrame, tolerance: float = 0
 
 def explain(rows: DataFrame, overall: DataFrame, only_triggered: bool = False) -> DataFrame:
     """Project explanation: summary sentence and the factors (triggered first) with their evidence."""
-    ev = evidence_rows(rows).select("project_id", "engine", F.struct("text", "actual_value", "reference_value", "unit").alias("evidence"))
-    d = rows.select("project_id", "engine", "score", "effective_weight").join(ev, ["project_id", "engine"]).withColumns({
+    d = evidence_rows(rows, "score", "effective_weight").withColumn("evidence", F.struct("text", "actual_value", "reference_value", "unit")).withColumns({
         "triggered": F.col("score") >= 30, "contribution": F.round(F.col("score") * F.col("effective_weight"), 1), "severity": F.lower(X.risk_level("score")),
         "k": F.create_map(*[x for i, e in enumerate(FLAG_ORDER) for x in (F.lit(e), F.lit(i))])[F.col("engine")], "word": lookup(fv.SUMMARY_WORDS)})
     entry = F.struct((~F.col("triggered")).alias("calm"), (-F.col("contribution")).alias("neg"), "k", "engine", "severity", "contribution", "score", "evidence")

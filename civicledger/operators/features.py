@@ -30,9 +30,10 @@ def _pos_days(later: Column, earlier: Column) -> Column:
 
 
 def load_joined(t) -> DataFrame:
-    """Projects with finance and, column by column, the last known progress values."""
+    """Projects with finance and, column by column, the last known progress values; of reports of one day
+    the one with the highest progress_id is the last."""
     p, f = t["projects"], t["financials"]
-    pr = last_non_null_per_key(t["progress"].drop("progress_id"), "project_id", ["reported_date"])
+    pr = last_non_null_per_key(t["progress"], "project_id", ["reported_date", "progress_id"]).drop("progress_id")
     f = f.drop(*[c for c in f.columns if c in p.columns and c != "project_id"])
     seen = {*p.columns, *f.columns}
     pr = pr.drop(*[c for c in pr.columns if c in seen and c != "project_id"])

@@ -127,6 +127,26 @@ def append_snapshots(latest: DataFrame, proposed: DataFrame, fields: set[str], f
     return d.filter(F.lit(force) | F.col("is_initial") | (F.col("changes_count") > 0)).select("project_id", "cur.*", "is_initial", "changes_count", "change_summary")
 
 
+def kept_rows(values: np.ndarray, last: np.ndarray | None, tol: np.ndarray) -> tuple[list[int], np.ndarray | None]:
+    """Numbers of the rows that are kept, in order, and the last kept values. The next row outside the
+    tolerance is found by searching ever longer blocks, so rows that change nothing are passed over at once."""
+    kept, at = [], 0
+    while at < len(values):
+        if last is not None:
+            size = 16
+            while at < len(values):
+                outside = (np.abs(values[at:at + size] - last) >= tol).any(1)
+                if outside.any():
+                    at += int(outside.argmax())
+                    break
+                at, size = at + size, size * 2
+            else:
+                break
+        kept.append(at)
+        last, at = values[at], at + 1
+    return kept, last
+
+
 def snapshot_chain(updates: DataFrame, fields: dict[str, float], key: str = "project_id", order: tuple[str, str] = ("event_ts", "update_id"),
                    chunk: Column | None = None) -> DataFrame:
     """Accepted versions of a full-state update feed: an update is kept when some field is at least its
@@ -158,11 +178,13 @@ def snapshot_chain(updates: DataFrame, fields: dict[str, float], key: str = "pro
     def fold(batches):
         last_key, state = None, None
         for pdf in batches:
-            keys, vals = list(zip(pdf[key], pdf["piece"])), pdf[names].to_numpy(float)
+            keys, pieces, vals = pdf[key].to_numpy(), pdf["piece"].to_numpy(), pdf[names].to_numpy(float)
+            edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1])))
             keep = np.zeros(len(pdf), bool)
-            for i, (k, v) in enumerate(zip(keys, vals)):
-                if k != last_key or (np.abs(v - state) >= tol).any():
-                    keep[i], last_key, state = True, k, v
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(pdf)]):
+                k = (keys[lo], pieces[lo])
+                rows, state = kept_rows(vals[lo:hi], state if k == last_key else None, tol)
+                keep[[lo + r for r in rows]], last_key = True, k
             yield pdf.loc[keep, [key, *order, *names]]
 
     return d.repartition(F.col(key), F.col("piece")).sortWithinPartitions(key, "piece", *order).mapInPandas(fold, schema)
@@ -176,12 +198,14 @@ def change_log(snapshots: DataFrame, fields: set[str], tol: Tolerances = Toleran
     return with_changes(d, "previous", "cur", fields, tol).select("project_id", "snapshot_id", "snapshot_datetime", "is_initial", "changes_count", "change_summary", "changes")
 
 
-def history_series(df: DataFrame, order_col: str = "snapshot_datetime", newest_first: bool = True, k: int = 50) -> DataFrame:
-    """First k versions per project; the rank limit is applied before the shuffle."""
+def history_series(df: DataFrame, order_col: str = "snapshot_datetime", newest_first: bool = False, k: int | None = None) -> DataFrame:
+    """All versions per project, numbered from the oldest. With ``k`` only the first k; that limit is
+    applied before the shuffle."""
     o = F.col(order_col)
     tie = F.col("snapshot_id")
     w = Window.partitionBy("project_id").orderBy(*([o.desc(), tie.desc()] if newest_first else [o, tie]))
-    return df.withColumn("version_no", F.row_number().over(w)).filter(F.col("version_no") <= k)
+    numbered = df.withColumn("version_no", F.row_number().over(w))
+    return numbered if k is None else numbered.filter(F.col("version_no") <= k)
 
 
 def timeline(history: DataFrame) -> DataFrame:

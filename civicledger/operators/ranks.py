@@ -19,9 +19,10 @@ def value_bucket(v: Column) -> Column:
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct (keys, value) rows with: cnt, below (weight of smaller values), upto (below + cnt)
-    and n (weight of the whole group). Rows of weight 0 get ranks without counting."""
+    and n (weight of the whole group). Rows of weight 0 get ranks without counting. NaN is missing, as
+    null is; infinities rank at the ends."""
     w = F.col(weight) if weight else F.lit(1)
-    rows = (df.filter(F.col(value).isNotNull())
+    rows = (df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
             .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.sum(w).cast("bigint").alias("cnt"))
             .withColumn("__b", value_bucket(F.col(value))))
     buckets = rows.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__c"))

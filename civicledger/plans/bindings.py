@@ -36,11 +36,7 @@ class Tables(dict):
         return df
 
     def _raw(self, role: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{role}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if role == "documents" and df.rdd.getNumPartitions() < cores:      # heavy text work on one small file
-            df = df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{role}.parquet")
 
     # ---- geography -------------------------------------------------------------------------
     def _states(self):

@@ -11,7 +11,7 @@ from civicledger.functions import columns as X
 from civicledger.operators import aggregate as G, explain as J, legacy as L, similarity as S
 from civicledger.plans.bindings import AS_OF
 from civicledger.plans.oracle_tables import CTES, sql
-from civicledger.plans.q_similarity import doc_projects, no_sub
+from civicledger.plans.q_similarity import doc_projects
 from civicledger.plans.registry import query
 
 REF = "DATE '2000-01-01'"
@@ -66,16 +66,18 @@ def _(t):
 DUP1 = f"""(CASE WHEN s >= 0.92 THEN 85 + least(15, {TR('(s - 0.92) * 187.5')}) WHEN s >= 0.80 THEN 50 + {TR('(s - 0.80) / 0.12 * 34')} WHEN s >= 0.65 THEN 20 + {TR('(s - 0.65) / 0.15 * 29')} ELSE 0 END)::BIGINT"""
 
 
-@query("i28_duplicate_v1", sql(f"SELECT id AS project_id, {DUP1} AS score FROM (SELECT m3t.id, coalesce(sim, 0)::DOUBLE AS s FROM m3t LEFT JOIN m3b ON m3b.id = m3t.id)", "m3t", "m3b"))
+CTES["dup1"] = (("m3t", "m3b"), f"SELECT id AS project_id, {DUP1} AS score FROM (SELECT m3t.id, coalesce(sim, 0)::DOUBLE AS s FROM m3t LEFT JOIN m3b ON m3b.id = m3t.id)")
+
+
+@query("i28_duplicate_v1", sql("SELECT project_id, score FROM dup1", "dup1"))
 def _(t):
-    return L.duplicate_v1(no_sub(doc_projects(t))).select("project_id", "score")
+    return L.duplicate_v1(doc_projects(t)).select("project_id", "score")
 
 
 @query("i29_run_all_v1", sql("""SELECT detector, severity, count(*) AS projects FROM (SELECT 'cost_anomaly' AS detector, score FROM v1_cost UNION ALL SELECT 'delay', score FROM v1_delay UNION ALL SELECT 'progress_mismatch', score FROM v1_mismatch UNION ALL
-  SELECT 'fund_utilization', score FROM v1f), LATERAL (SELECT CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity) GROUP BY 1, 2""", "v1_cost", "v1_delay", "v1_mismatch", "v1f"))
+  SELECT 'fund_utilization', score FROM v1f UNION ALL SELECT 'duplicate_detection', score FROM dup1), LATERAL (SELECT CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity) GROUP BY 1, 2""", "v1_cost", "v1_delay", "v1_mismatch", "v1f", "dup1"))
 def _(t):
-    none = L._result(t["projects"].limit(0), "duplicate_detection", F.lit(0), F.lit(""))
-    return L.run_detectors_v1(t, AS_OF, duplicates=none).groupBy("detector", "severity").agg(F.count(F.lit(1)).alias("projects"))
+    return L.run_detectors_v1(t, AS_OF, duplicates=L.duplicate_v1(doc_projects(t))).groupBy("detector", "severity").agg(F.count(F.lit(1)).alias("projects"))
 
 
 # ---- stand-in engine results -------------------------------------------------------------------------
@@ -256,6 +258,19 @@ ORD = "CASE engine WHEN 'cost_anomaly' THEN 0 WHEN 'delay_detection' THEN 1 WHEN
   SELECT project_id, tier AS overall_risk, fac IS NOT NULL AS is_flagged, coalesce(fac, '') AS triggered_factors, coalesce(pts, '') AS risk_contributions FROM ov LEFT JOIN f USING (project_id)""", "er", "ov"))
 def _(t):
     w = J.why_flagged(engine_rows(t), overall(t))
+    return _flags(w)
+
+
+@query("j7_why_flagged_stored", sql(f"""WITH f AS (SELECT project_id, string_agg({case(FLAG)}, '|' ORDER BY {ORD}) AS fac, string_agg({case(FLAG)} || ': ' || format('{{:.1f}}', round(score * 0.2::DOUBLE, 1)) || ' points', '|' ORDER BY {ORD}) AS pts
+    FROM er WHERE score >= 20 AND CASE WHEN project_id % 3 = 0 THEN score >= 30 ELSE project_id % 3 = 1 END GROUP BY 1)
+  SELECT project_id, tier AS overall_risk, fac IS NOT NULL AS is_flagged, coalesce(fac, '') AS triggered_factors, coalesce(pts, '') AS risk_contributions FROM ov LEFT JOIN f USING (project_id)""", "er", "ov"))
+def _(t):
+    """Factors with a stored flag: set, not set, or missing."""
+    k = F.col("project_id") % 3
+    return _flags(J.why_flagged(engine_rows(t).withColumn("triggered", F.when(k == 1, True).when(k == 2, False)), overall(t)))
+
+
+def _flags(w):
     return w.select("project_id", "overall_risk", "is_flagged", F.concat_ws("|", "triggered_factors").alias("triggered_factors"), F.concat_ws("|", "risk_contributions").alias("risk_contributions"))
 
 

@@ -18,24 +18,16 @@ CTES["joined"] = (("projects", "financials", "last_known"), """
   SELECT p.*, f.* EXCLUDE (project_id), l.* EXCLUDE (project_id) FROM projects p LEFT JOIN financials f USING (project_id) LEFT JOIN last_known l USING (project_id)""")
 
 
-def _joined(t):
-    """Joined table with a total order on progress rows, so that ties cannot differ between engines."""
-    from civicledger.operators.views import last_non_null_per_key
-    pr = last_non_null_per_key(t["progress"].select("project_id", "reported_date", "progress_id", "physical_progress_pct", "financial_progress_pct",
-                                                    "days_delayed", "geo_latitude", "inspected_by"), "project_id", ["reported_date", "progress_id"])
-    return (t["projects"].join(t["financials"], "project_id", "left").join(pr.drop("progress_id"), "project_id", "left"))
-
-
 @query("h1_joined_table", sql("""SELECT project_id, sector, current_status, sanctioned_amount::DOUBLE AS sanctioned_amount, expenditure_amount::DOUBLE AS expenditure_amount,
   strftime(reported_date, '%Y-%m-%d') AS reported_date, physical_progress_pct, days_delayed, geo_latitude, inspected_by FROM joined""", "joined"))
 def _(t):
-    return _joined(t).select("project_id", "sector", "current_status", "sanctioned_amount", "expenditure_amount", "reported_date",
+    return H.load_joined(t).select("project_id", "sector", "current_status", "sanctioned_amount", "expenditure_amount", "reported_date",
                              "physical_progress_pct", "days_delayed", "geo_latitude", "inspected_by")
 
 
 @query("h2_reference_date", sql("SELECT project_id, strftime(reported_date, '%Y-%m-%d') AS ref_date, '2000-01-01' AS as_of FROM joined WHERE reported_date IS NOT NULL", "joined"))
 def _(t):
-    d = _joined(t).filter("reported_date is not null")
+    d = H.load_joined(t).filter("reported_date is not null")
     return d.select("project_id", H.ref_date(H.FeatureConfig()).alias("ref_date"), H.ref_date(CFG).alias("as_of"))
 
 
@@ -45,7 +37,7 @@ DELAY = f"""CASE WHEN days_delayed > 0 THEN days_delayed WHEN actual_completion_
 
 @query("h3_delay_days", sql(f"SELECT project_id, {DELAY} AS delay_days, {DELAY} > 0 AS is_delayed FROM joined", "joined"))
 def _(t):
-    return H.delay_days(_joined(t), CFG).select("project_id", "delay_days", "is_delayed")
+    return H.delay_days(H.load_joined(t), CFG).select("project_id", "delay_days", "is_delayed")
 
 
 @query("h4_sanction_sla_delay", sql("SELECT project_id, coalesce(greatest(sanction_date - recommendation_date - 75, 0), 0) AS sanction_sla_delay_days FROM projects", "projects"))
@@ -104,7 +96,7 @@ PLAN = f"""(CASE WHEN actual_completion_date IS NOT NULL THEN 100.0 WHEN expecte
 
 @query("h10_planned_schedule", sql(f"SELECT project_id, {PLAN} AS planned_schedule_pct FROM joined", "joined"))
 def _(t):
-    return H.progress_gap(_joined(t), CFG).select("project_id", "planned_schedule_pct")
+    return H.progress_gap(H.load_joined(t), CFG).select("project_id", "planned_schedule_pct")
 
 
 PHY, FIN = "least(greatest(coalesce(physical_progress_pct, 0), 0), 100)", "least(greatest(coalesce(financial_progress_pct, 0), 0), 100)"
@@ -113,7 +105,7 @@ PHY, FIN = "least(greatest(coalesce(physical_progress_pct, 0), 0), 100)", "least
 @query("h11_progress_gap", sql(f"""WITH g AS (SELECT project_id, round_even({PLAN} - {PHY}, 2)::DOUBLE AS progress_gap, round_even({FIN} - {PHY}, 2)::DOUBLE AS progress_gap_fin_phy FROM joined)
   SELECT *, progress_gap > 0 AS is_schedule_lagging, progress_gap_fin_phy > 15 AS is_disbursement_skewed FROM g""", "joined"))
 def _(t):
-    return H.progress_gap(_joined(t), CFG).select("project_id", "progress_gap", "progress_gap_fin_phy", "is_schedule_lagging", "is_disbursement_skewed")
+    return H.progress_gap(H.load_joined(t), CFG).select("project_id", "progress_gap", "progress_gap_fin_phy", "is_schedule_lagging", "is_disbursement_skewed")
 
 
 BENCH = """b AS (SELECT project_id, sector, greatest(coalesce(sanctioned_amount::DOUBLE, recommended_amount::DOUBLE, 0), 0)::DOUBLE AS x FROM projects LEFT JOIN financials USING (project_id)),
@@ -138,7 +130,7 @@ def _(t):
   (CASE WHEN {R} > 0 THEN {UR} ELSE {US} END)::DOUBLE AS utilization_ratio, {DEV}, {PLAN} AS planned_schedule_pct, round_even({PLAN} - {PHY}, 2)::DOUBLE AS progress_gap,
   round_even(m, 2) AS cost_per_category, round_even((x - m) / sd, 4) AS cost_category_zscore FROM joined JOIN b USING (project_id) JOIN s ON b.sector = s.sector""", "joined"))
 def _(t):
-    return H.feature_pipeline(_joined(t), CFG).select(
+    return H.feature_pipeline(H.load_joined(t), CFG).select(
         "project_id", "delay_days", "project_duration", "utilization_ratio", "cost_deviation_sanction", "cost_deviation_sanction_pct", "cost_deviation_expenditure",
         "cost_deviation_expenditure_pct", "has_cost_overrun", "unreleased_allocation", "planned_schedule_pct", "progress_gap", "cost_per_category", "cost_category_zscore")
 
@@ -147,5 +139,5 @@ def _(t):
   (CASE WHEN abs(round({US}, 4)) < 100 THEN {US} END)::DOUBLE AS utilization_ratio_sanctioned, round_even(m, 2) AS cost_per_category,
   {_pos('actual_completion_date', START)} AS actual_duration_days FROM joined JOIN b USING (project_id) JOIN s ON b.sector = s.sector""", "joined"))
 def _(t):
-    return H.stored_features(H.feature_pipeline(_joined(t), CFG)).select("project_id", "delay_days", "project_duration", "utilization_ratio_sanctioned",
+    return H.stored_features(H.feature_pipeline(H.load_joined(t), CFG)).select("project_id", "delay_days", "project_duration", "utilization_ratio_sanctioned",
                                                                          "cost_per_category", "actual_duration_days")

@@ -69,10 +69,11 @@ def _(t):
 
 
 CTES["rd"] = (("readings",), "SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY event_ts, update_id) AS rn FROM readings")
-FOLD_SQL = sql("""WITH chain AS (SELECT project_id, rn, update_id, physical_progress_pct AS a, expenditure_amount AS b, days_delayed AS c, true AS kept FROM rd WHERE rn = 1
+FOLD_BODY = """WITH chain AS (SELECT project_id, rn, update_id, physical_progress_pct AS a, expenditure_amount AS b, days_delayed AS c, true AS kept FROM rd WHERE rn = 1
   UNION ALL SELECT r.project_id, r.rn, r.update_id, CASE WHEN k THEN r.physical_progress_pct ELSE a END, CASE WHEN k THEN r.expenditure_amount ELSE b END, CASE WHEN k THEN r.days_delayed ELSE c END, k
     FROM (SELECT chain.a, chain.b, chain.c, r.*, (abs(r.physical_progress_pct - a) >= 20 OR abs(r.expenditure_amount - b) >= 20000 OR abs(r.days_delayed - c) >= 40) AS k FROM chain JOIN rd r ON r.project_id = chain.project_id AND r.rn = chain.rn + 1) r)
-  SELECT project_id, update_id, a AS physical_progress_pct, b AS expenditure_amount, c AS days_delayed FROM chain WHERE kept""", "rd", recursive=True)
+  SELECT project_id, update_id, a AS physical_progress_pct, b AS expenditure_amount, c AS days_delayed FROM chain WHERE kept"""
+FOLD_SQL = sql(FOLD_BODY, "rd", recursive=True)
 FOLD_COLS = ["project_id", "update_id", *FOLD]
 
 
@@ -88,7 +89,12 @@ def _(t):
 
 @query("k8_history_series", sql("SELECT project_id, snapshot_id, version_no FROM (SELECT project_id, snapshot_id, row_number() OVER (PARTITION BY project_id ORDER BY snapshot_datetime DESC, snapshot_id DESC) AS version_no FROM snapshots) WHERE version_no <= 5", "snapshots"))
 def _(t):
-    return K.history_series(t["snapshots"], k=5).select("project_id", "snapshot_id", "version_no")
+    return K.history_series(t["snapshots"], newest_first=True, k=5).select("project_id", "snapshot_id", "version_no")
+
+
+@query("k8_full_history", sql("SELECT project_id, snapshot_id, row_number() OVER (PARTITION BY project_id ORDER BY snapshot_datetime, snapshot_id) AS version_no FROM snapshots", "snapshots"))
+def _(t):
+    return K.history_series(t["snapshots"]).select("project_id", "snapshot_id", "version_no")
 
 
 @query("k9_timeline", sql("SELECT project_id, history_id, event_type, new_status, performed_by FROM history", "history"))
@@ -179,10 +185,19 @@ def event_stream(t):
     return L.file_stream(t.spark, t.sf_dir, t["events"].schema, "events.parquet")
 
 
-def _readings(t):
+def _readings(t, late: bool = False):
+    """The feed as a stream of files, one for each micro-batch: the older half, then the newer half and, with
+    ``late``, every tenth row of the older half only after that."""
     from civicledger.plans.bindings import Tables
+    events = t["events"]
+    mid = events.agg(F.expr("min(unix_micros(cast(ts as timestamp)))").alias("a"), F.expr("max(unix_micros(cast(ts as timestamp)))").alias("b")).first()
+    old = F.expr("unix_micros(cast(ts as timestamp))") <= F.lit((mid["a"] + mid["b"]) // 2)
+    behind = old & (F.col("event_id") % 10 == 0) & F.lit(late)
+    root, _ = L.fresh(t.spark, "feed")
+    for part in [old & ~behind, ~old, *([behind] if late else [])]:
+        events.filter(part).write.mode("append").parquet(root)
     s = Tables(t.spark, t.sf_dir)
-    s["events"] = event_stream(t)
+    s["events"] = L.file_stream(t.spark, root, events.schema, files_per_batch=1)
     return s["readings"]
 
 
@@ -204,10 +219,15 @@ def _(t):
     return table.read()
 
 
-@query("l3_watermarked_snapshots", FOLD_SQL)
+CTES["timely"] = (("readings",), """SELECT * FROM readings WHERE NOT (update_id % 10 = 0 AND epoch_us(event_ts::TIMESTAMP) <= (SELECT (min(epoch_us(event_ts::TIMESTAMP)) + max(epoch_us(event_ts::TIMESTAMP))) // 2 FROM readings))""")
+CTES["rdt"] = (("timely",), "SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY event_ts, update_id) AS rn FROM timely")
+
+
+@query("l3_watermarked_snapshots", sql(FOLD_BODY.replace("rd ", "rdt "), "rdt", recursive=True))
 def _(t):
+    """The last file is hours behind the watermark: none of its rows may become a version or change the state."""
     out, cp = L.fresh(t.spark, "l3")
-    r = _readings(t).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    r = _readings(t, late=True).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     L.run_available(L.stream_snapshots(r, FOLD, watermark="1 hour"), out, cp)
     return t.spark.read.parquet(out).select(*FOLD_COLS)
 

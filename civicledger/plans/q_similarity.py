@@ -10,16 +10,11 @@ from civicledger.plans.registry import query
 
 def doc_projects(t):
     d = F.col("doc_id")
-    return t["documents"].select(d.alias("project_id"), F.lit(None).cast("string").alias("project_title"), F.col("text").alias("project_description"), F.col("lang").alias("sector"),
+    return t["documents"].select(d.alias("project_id"), F.when(d % 2 == 0, F.substring("text", 1, 12)).when(d % 5 != 0, F.concat(F.lit("Works package "), (d % 4).cast("string"))).alias("project_title"), F.col("text").alias("project_description"), F.col("lang").alias("sector"),
                                  F.when(d % 3 != 0, F.concat(F.lit("sub"), d % 4)).alias("sub_sector"), (d % 5).cast("int").alias("state_id"),
                                  F.col("source").alias("district_name"), F.when(d % 2 == 0, "B1").alias("block_name"))
 
 
-def no_sub(df):
-    """Same projects without sub-sectors, so that target and candidate texts coincide."""
-    return df.withColumn("sub_sector", F.lit(None).cast("string"))
-
-
 def norm_sql(c: str, phrases) -> str:
     s = f"lower(coalesce({c}, ''))"
     for p in phrases:
@@ -27,35 +22,44 @@ def norm_sql(c: str, phrases) -> str:
     return f"trim(regexp_replace(regexp_replace({s}, '[^\\p{{L}}\\p{{N}}_\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
 
 
-CTES["dp"] = ((), """SELECT doc_id AS project_id, text, lang AS sector, CASE WHEN doc_id % 3 <> 0 THEN 'sub' || (doc_id % 4) END AS sub_sector, doc_id % 5 AS state_id, source AS district_name,
+CTES["dp"] = ((), """SELECT doc_id AS project_id, text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 12) WHEN doc_id % 5 <> 0 THEN 'Works package ' || (doc_id % 4) END AS title, lang AS sector, CASE WHEN doc_id % 3 <> 0 THEN 'sub' || (doc_id % 4) END AS sub_sector, doc_id % 5 AS state_id, source AS district_name,
   CASE WHEN doc_id % 2 = 0 THEN 'B1' END AS block_name FROM documents""")
 
 
-def tfidf_ctes(prefix: str, n: int, phrases):
-    """Brute-force TF-IDF over all documents: every pair sharing a term, no pruning."""
+#: Candidate text: title and description. Target text: the title only if the description lacks it, then the sub-sector likewise.
+CAND = "trim(concat_ws(' ', title, text))"
+BODY = "CASE WHEN title IS NOT NULL AND trim(title) <> '' AND contains(lower(text), lower(title)) THEN text ELSE trim(concat_ws(' ', title, text)) END"
+TARGET = f"CASE WHEN sub_sector IS NOT NULL AND NOT contains(lower({BODY}), lower(sub_sector)) THEN trim(concat_ws(' ', {BODY}, sub_sector)) ELSE {BODY} END"
+
+
+def tfidf_ctes(prefix: str, n: int, phrases, target: str):
+    """Brute-force TF-IDF over all documents: every target with every other candidate that shares a term, no pruning."""
     grams = "w" + "".join(f" || [list_aggregate(w[i:i+{k - 1}], 'string_agg', ' ') FOR i IN range(1, len(w) - {k - 2})]" for k in range(2, n + 1))
-    CTES[prefix + "t"] = ((), f"SELECT doc_id AS id, {norm_sql('text', phrases)} AS txt FROM documents")
-    CTES[prefix + "g"] = ((prefix + "t",), f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({grams}) AS term FROM (SELECT id, list_filter(string_split(txt, ' '), lambda x: length(x) >= 2) AS w FROM {prefix}t WHERE length(txt) >= 15)) GROUP BY 1, 2")
-    CTES[prefix + "w"] = ((prefix + "g",), f"SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM {prefix}t WHERE length(txt) >= 15)) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS w FROM {prefix}g")
-    CTES[prefix + "n"] = ((prefix + "w",), f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {prefix}w")
-    CTES[prefix + "s"] = ((prefix + "n",), f"SELECT a.id, b.id AS cid, round(least(sum(a.w * b.w), 1.0), 9) AS sim FROM {prefix}n a JOIN {prefix}n b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2")
+    CTES[prefix + "t"] = (("dp",), f"SELECT project_id AS id, {norm_sql(target, phrases)} AS txt, {norm_sql(CAND, phrases)} AS c FROM dp")
+    for k, col in (("g", "txt"), ("h", "c")):
+        CTES[prefix + k] = ((prefix + "t",), f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({grams}) AS term FROM (SELECT id, list_filter(string_split({col}, ' '), lambda x: length(x) >= 2) AS w FROM {prefix}t WHERE length({col}) >= 15)) GROUP BY 1, 2")
+    CTES[prefix + "d"] = ((prefix + "h",), f"SELECT term, count(*) AS df FROM {prefix}h GROUP BY 1")
+    for k, src in (("w", "g"), ("v", "h")):
+        CTES[prefix + k] = ((prefix + src, prefix + "d"), f"SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM {prefix}t WHERE length(c) >= 15)) / (1 + coalesce(df, 1))) + 1) AS w FROM {prefix}{src} LEFT JOIN {prefix}d USING (term)")
+    for k, src in (("n", "w"), ("m", "v")):
+        CTES[prefix + k] = ((prefix + src,), f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {prefix}{src}")
+    CTES[prefix + "s"] = ((prefix + "n", prefix + "m"), f"SELECT a.id, b.id AS cid, round(least(sum(a.w * b.w), 1.0), 9) AS sim FROM {prefix}n a JOIN {prefix}m b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2")
     CTES[prefix + "b"] = ((prefix + "s",), f"SELECT id, cid, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cid) AS r FROM {prefix}s) WHERE r = 1")
 
 
-tfidf_ctes("m2", 2, fv.BOILERPLATE)
-tfidf_ctes("m3", 3, fv.BOILERPLATE_V1)
+tfidf_ctes("m2", 2, fv.BOILERPLATE, TARGET)
+tfidf_ctes("m3", 3, fv.BOILERPLATE_V1, CAND)
 
 
-@query("i9_duplicate_texts", sql(f"""WITH x AS (SELECT project_id, {norm_sql("text", fv.BOILERPLATE)} AS c, {norm_sql("CASE WHEN sub_sector IS NOT NULL AND NOT contains(lower(text), lower(sub_sector)) THEN trim(text || ' ' || sub_sector) ELSE text END", fv.BOILERPLATE)} AS t FROM dp)
-  SELECT project_id, md5(t) AS target_digest, md5(c) AS candidate_digest, length(c) >= 15 AS usable FROM x""", "dp"))
+@query("i9_duplicate_texts", sql("SELECT id AS project_id, md5(txt) AS target_digest, md5(c) AS candidate_digest, length(c) >= 15 AS usable FROM m2t", "m2t"))
 def _(t):
     d = S.dup_text(doc_projects(t))
     return d.select("project_id", F.md5("target_text").alias("target_digest"), F.md5("candidate_text").alias("candidate_digest"), (F.length("candidate_text") >= 15).alias("usable"))
 
 
-@query("i10_tfidf_best_match", sql("SELECT m2t.id AS project_id, CASE WHEN sim >= 0.75 THEN cid END AS matched_project_id, CASE WHEN sim >= 0.75 THEN round(sim, 4) END AS similarity FROM m2t LEFT JOIN m2b ON m2b.id = m2t.id", "m2t", "m2b"))
+@query("i10_tfidf_best_match", sql("SELECT m2t.id AS project_id, cid AS matched_project_id, round(sim, 4) AS similarity FROM m2t LEFT JOIN m2b ON m2b.id = m2t.id", "m2t", "m2b"))
 def _(t):
-    m = S.tfidf_best_match(S.dup_text(no_sub(doc_projects(t))))
+    m = S.tfidf_best_match(S.dup_text(doc_projects(t)))
     return m.select("project_id", "matched_project_id", F.round("similarity", 4).alias("similarity"))
 
 
@@ -67,22 +71,52 @@ def _(t):
     return m.withColumn("similarity", F.round("similarity", 6))
 
 
-DUP_SQL = """WITH p AS (SELECT a.project_id, a.state_id, m2t.txt, CASE WHEN sim >= 0.75 THEN cid END AS cid, CASE WHEN sim >= 0.75 THEN sim ELSE 0 END AS s, b.state_id AS cs, a.state_id = b.state_id AS st,
-      a.state_id = b.state_id AND a.district_name = b.district_name AS di, a.state_id = b.state_id AND a.district_name = b.district_name AND a.block_name = b.block_name AS bl, a.sector = b.sector AS se
-    FROM dp a JOIN m2t ON m2t.id = a.project_id LEFT JOIN m2b ON m2b.id = a.project_id LEFT JOIN dp b ON b.project_id = cid),
-  q AS (SELECT *, CASE WHEN bl THEN 1.25 WHEN di THEN 1.15 WHEN st THEN 1.0 ELSE 0.60 END * CASE WHEN se THEN 1.0 ELSE 0.75 END AS mult, 60 + (s - 0.88) / 0.12 * 35 AS raw FROM p),
-  z AS (SELECT *, CASE WHEN length(txt) < 15 THEN 'MISSING_TEXT' WHEN s < 0.75 THEN 'NONE' WHEN NOT st AND s < 0.95 THEN 'CROSS_STATE_TEMPLATE_PHRASING' WHEN s < 0.88 THEN 'POSSIBLE_DUPLICATE' ELSE 'STRONG_DUPLICATE' END AS label FROM q)
-  SELECT project_id, label AS duplicate_classification, round_even(CASE label WHEN 'CROSS_STATE_TEMPLATE_PHRASING' THEN 15 WHEN 'POSSIBLE_DUPLICATE' THEN greatest(30, least(59, (30 + (s - 0.75) / 0.13 * 25) * mult))
-      WHEN 'STRONG_DUPLICATE' THEN CASE WHEN coalesce(bl, false) OR (coalesce(di, false) AND s >= 0.92) THEN least(100, raw * 1.15 + 10) ELSE least(85, raw * mult) END ELSE 0 END, 0)::BIGINT AS score FROM z"""
+def dup_sql(matches: str, possible: float = 0.75, strong: float = 0.88) -> str:
+    """Scores from matches (id, cid, sim) and m2t; ``pool`` is the number of other usable texts."""
+    return f"""WITH p AS (SELECT a.project_id, a.state_id, m2t.txt, m.cid, coalesce(m.sim, 0) AS s, b.state_id AS cs, coalesce(a.state_id = b.state_id, false) AS st,
+      coalesce(a.state_id = b.state_id AND a.district_name = b.district_name, false) AS di, coalesce(a.state_id = b.state_id AND a.district_name = b.district_name AND a.block_name = b.block_name, false) AS bl,
+      coalesce(a.sector = b.sector, false) AS se, coalesce(a.sector = b.sector AND a.sub_sector = b.sub_sector, false) AS ss, b.title AS c_title, (SELECT count(*) FROM m2t WHERE length(c) >= 15) - CASE WHEN length(m2t.c) >= 15 THEN 1 ELSE 0 END AS pool
+    FROM dp a JOIN m2t ON m2t.id = a.project_id LEFT JOIN {matches} m ON m.id = a.project_id LEFT JOIN dp b ON b.project_id = m.cid),
+  q AS (SELECT *, CASE WHEN bl THEN 1.25 WHEN di THEN 1.15 WHEN st THEN 1.0 ELSE 0.60 END * CASE WHEN ss THEN 1.10 WHEN se THEN 1.0 ELSE 0.75 END AS mult, 60 + (s - {strong}) / (1 - {strong}) * 35 AS raw FROM p),
+  z AS (SELECT *, CASE WHEN length(txt) < 15 THEN 'MISSING_TEXT' WHEN pool <= 0 OR s < {possible} THEN 'NONE' WHEN NOT st AND s < 0.95 THEN 'CROSS_STATE_TEMPLATE_PHRASING' WHEN s < {strong} THEN 'POSSIBLE_DUPLICATE' ELSE 'STRONG_DUPLICATE' END AS label FROM q)
+  SELECT project_id, label AS duplicate_classification, cid AS matched_project_id, round(s, 4) AS raw_similarity, c_title AS matched_project_title, pool AS candidate_pool_size,
+    CASE WHEN bl THEN 'same_block_and_district' WHEN di THEN 'same_district' WHEN st THEN 'same_state' ELSE 'different_state' END AS location_match,
+    CASE WHEN ss THEN 'same_sector_and_subsector' WHEN se THEN 'same_sector' ELSE 'different_sector' END AS sector_match,
+    round_even(CASE label WHEN 'CROSS_STATE_TEMPLATE_PHRASING' THEN 15 WHEN 'POSSIBLE_DUPLICATE' THEN greatest(30, least(59, (30 + (s - {possible}) / ({strong} - {possible}) * 25) * mult))
+      WHEN 'STRONG_DUPLICATE' THEN CASE WHEN bl OR (di AND s >= 0.92) THEN least(100, raw * 1.15 + 10) ELSE least(85, raw * mult) END ELSE 0 END, 0)::BIGINT AS score FROM z"""
 
 
 def _dups(t):
-    return S.duplicate_detection(no_sub(doc_projects(t)))
+    return S.duplicate_detection(doc_projects(t))
+
+
+def _scored(d):
+    get = lambda k: F.get_json_object("details", f"$.{k}")
+    return d.select("project_id", get("duplicate_classification").alias("duplicate_classification"), get("matched_project_id").cast("long").alias("matched_project_id"),
+                    get("raw_similarity").cast("double").alias("raw_similarity"), get("matched_project_title").alias("matched_project_title"), get("candidate_pool_size").cast("long").alias("candidate_pool_size"),
+                    get("location_match").alias("location_match"), get("sector_match").alias("sector_match"), "score")
+
+
+@query("i12_duplicate_scores", sql(dup_sql("m2b"), "dp", "m2t", "m2b"))
+def _(t):
+    return _scored(_dups(t))
+
+
+@query("i12_duplicate_scores_thresholds", sql(dup_sql("m2b", 0.65, 0.8), "dp", "m2t", "m2b"))
+def _(t):
+    return _scored(S.duplicate_detection(doc_projects(t), possible=0.65, strong=0.8))
 
 
-@query("i12_duplicate_scores", sql(DUP_SQL, "dp", "m2t", "m2b"))
+VECTORS = """WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+  s AS (SELECT a.vec_id AS id, b.vec_id AS cid, round(list_dot_product(a.e, b.e) / a.n / b.n, 9) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id)
+  SELECT id, arg_min(cid, (-sim, cid)) AS cid, greatest(0, least(1, max(sim))) AS sim FROM s GROUP BY 1"""
+CTES["vb"] = ((), VECTORS)
+
+
+@query("i12_duplicate_scores_vectors", sql(dup_sql("vb"), "dp", "m2t", "vb"))
 def _(t):
-    return _dups(t).select("project_id", F.get_json_object("details", "$.duplicate_classification").alias("duplicate_classification"), "score")
+    m = S.vector_best_match(t["embeddings"].withColumnRenamed("vec_id", "project_id"), "embedding")
+    return _scored(S.duplicate_detection(doc_projects(t), matches=m, neural=True))
 
 
 @query("i13_duplicate_confidence", sql("""SELECT project_id, CASE WHEN length(txt) < 15 THEN 0 ELSE round(0.70 + CASE WHEN length(txt) >= 120 THEN 0.20 WHEN length(txt) >= 60 THEN 0.15 WHEN length(txt) >= 30 THEN 0.05 ELSE 0 END

@@ -25,29 +25,28 @@ def stream_snapshots(updates: DataFrame, fields: dict[str, float], watermark: st
     """Accepted versions of a full-state update stream. The state is the last accepted version of each
     project; the key has one writer, so concurrent updates are serialised. With a watermark, rows later
     than it are dropped before they reach the state (the one deliberate difference from stamping
-    arrival time)."""
+    arrival time): Spark filters late rows for a grouped state that has an event-time timeout. No
+    timeout is ever set, so the state itself does not expire."""
     names, tol = list(fields), np.array(list(fields.values()))
     stream = updates.withWatermark(event_ts, watermark) if watermark else updates
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = np.array(state.get) if state.exists else None
+        before = last = np.array(state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values([event_ts, "update_id"], kind="stable")
-        keep, summary = [], []
-        for v in rows[names].to_numpy(float):
-            first = last is None
-            hit = first or bool((np.abs(v - last) >= tol).any())
-            keep.append(hit)
-            if hit:
-                summary.append("baseline" if first else "; ".join(f"{n}: {a:g} -> {b:g}" for n, a, b, t in zip(names, last, v, tol) if abs(b - a) >= t))
-                last = v
+        kept, last = K.kept_rows(rows[names].to_numpy(float), last, tol)
+        out = rows.iloc[kept][["project_id", event_ts, "update_id", *names]].copy()
+        summary = []
+        for v in out[names].to_numpy(float):
+            summary.append("baseline" if before is None else "; ".join(f"{n}: {a:g} -> {b:g}" for n, a, b, t in zip(names, before, v, tol) if abs(b - a) >= t))
+            before = v
         state.update(tuple(float(x) for x in last))
-        out = rows.loc[keep, ["project_id", event_ts, "update_id", *names]].copy()
         out["changes"] = summary
         yield out
 
     types = dict(updates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ["project_id", event_ts, "update_id", *names]) + ", changes string"
-    return stream.groupBy("project_id").applyInPandasWithState(step, schema, ", ".join(f"{n} double" for n in names), "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("project_id").applyInPandasWithState(step, schema, ", ".join(f"{n} double" for n in names), "append", timeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -115,13 +115,14 @@ def test_tfidf_best_match_against_brute_force(spark):
     targets = {i: (t + " extra" if i % 4 == 0 else t) for i, t in texts.items()}
     df = spark.createDataFrame([(i, targets[i], texts[i]) for i in texts], "project_id long, target_text string, candidate_text string")
     want = brute_tfidf(targets, texts, 2)
-    got = {r.project_id: r for r in S.tfidf_best_match(df, 2, 0.75).collect()}
+    got = {r.project_id: r for r in S.tfidf_best_match(df, 2).collect()}
     assert len(got) == 160
     for i, (sim, neg) in want.items():
-        if sim >= 0.7500001:
+        if sim:
             assert (got[i].matched_project_id, round(got[i].similarity, 6)) == (-neg, round(sim, 6)), i
-        elif sim < 0.7499999:
+        else:
             assert got[i].matched_project_id is None
+    assert min(sim for sim, _ in want.values() if sim) < 0.6         # some best matches are poor ones
 
 
 def test_vector_best_match_against_brute_force(spark):
@@ -198,3 +199,35 @@ def test_no_forbidden_words():
     from civicledger import fixed_texts
     text = " ".join(str(v) for v in vars(fixed_texts).values()).lower()
     assert not any(w in text for w in fv.FORBIDDEN_WORDS)
+
+
+def test_nan_is_missing_and_infinities_rank_last(spark):
+    from civicledger.operators.ranks import group_quantiles, value_ranks
+    vals = [-5.0, 1.0, 2.0, 3.0, 4.0, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    got = {r.v: (r.below, r.n) for r in value_ranks(df, ["g"], "v").collect()}
+    assert got == {float("-inf"): (0, 7), -5.0: (1, 7), 1.0: (2, 7), 2.0: (3, 7), 3.0: (4, 7), 4.0: (5, 7), float("inf"): (6, 7)}
+    import pandas as pd
+    finite = pd.Series([v for v in vals if v is not None and np.isfinite(v)])
+    q = group_quantiles(df.filter("v is null or isnan(v) or abs(v) < 1e9"), ["g"], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}).first()
+    assert (q.q1, q.med, q.q3) == tuple(finite.quantile([0.25, 0.5, 0.75]))
+
+
+def test_kept_rows_skip_what_stays_within_tolerance():
+    from civicledger.operators.history import kept_rows
+    v = np.cumsum(np.random.default_rng(2).normal(size=(4000, 2)), 0)
+    tol, want, last = np.array([3.0, 5.0]), [], None
+    for i, x in enumerate(v):
+        if last is None or (np.abs(x - last) >= tol).any():
+            want.append(i)
+            last = x
+    assert kept_rows(v, None, tol)[0] == want and kept_rows(v[:0], None, tol) == ([], None)
+
+
+def test_duplicate_engine_takes_vector_matches_and_thresholds(spark):
+    rows = [(i, "T", f"laying of a long water pipe number {i % 3}", "Water", None, 1, "D", "B") for i in range(6)]
+    p = spark.createDataFrame(rows, "project_id long, project_title string, project_description string, sector string, sub_sector string, state_id int, district_name string, block_name string")
+    m = spark.createDataFrame([(0, 3, 0.7), (1, 4, 0.9)], "project_id long, matched_project_id long, similarity double")
+    label = lambda **k: {r.project_id: r.c for r in S.duplicate_detection(p, m, neural=True, **k).selectExpr("project_id", "get_json_object(details, '$.duplicate_classification') c").collect()}
+    assert label() == {0: "NONE", 1: "STRONG_DUPLICATE", 2: "NONE", 3: "NONE", 4: "NONE", 5: "NONE"}
+    assert label(possible=0.65, strong=0.95)[0] == "POSSIBLE_DUPLICATE" and label(possible=0.65, strong=0.95)[1] == "POSSIBLE_DUPLICATE"
