@@ -16,6 +16,7 @@ from civicledger.llm.textvec import range_hashes, slices, spread
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 NEVER = 1 << 30
+SLICE = 3 << 20         # bytes encoded at once: larger slices repeat more words
 LONG = 128              # words with more symbols get a tree of their own
 
 
@@ -46,7 +47,7 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tables of one tokenizer file, and the word cache of the worker that loaded it."""
 
-    def __init__(self, path: str, cache_words: int = 1 << 20):
+    def __init__(self, path: str, cache_words: int = 1 << 19):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -340,7 +341,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for part, data, at in slices(batches):
+        for part, data, at in slices(batches, limit=SLICE):
             ids, rows = v.encode(data, at)
             lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part["doc_id"], lists], ["doc_id", "ids"])
@@ -368,7 +369,7 @@ def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
         v = vocabulary(path)
-        for part, data, at in slices(batches):
+        for part, data, at in slices(batches, limit=SLICE):
             ids, rows = v.encode(data, at)
             back, packed = v.decode(ids), ids.astype("<u4")
             ends = np.append(0, np.cumsum(v.piece_length[ids]))[rows]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from civicledger.llm.bpe import default_path, vocabulary
+from civicledger.llm.bpe import SLICE, default_path, vocabulary
 from civicledger.llm.common import texts
 from civicledger.llm.textvec import slices
 
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, capacity: int = 1024, linear: float = 1.0, quadratic:
             for k in range(0, whole.num_rows, 8192):
                 yield whole.slice(k, 8192)
 
-        for part, data, at in slices(batches):
+        for part, data, at in slices(batches, limit=SLICE):
             ids, rows = v.encode(data, at)
             ids = np.insert(ids.astype("<i4"), rows[1:], END)
             lengths = np.diff(rows) + 1

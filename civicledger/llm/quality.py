@@ -153,16 +153,18 @@ def _cumulative_link(y: np.ndarray, n: np.ndarray, flat: np.ndarray, width: int,
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """Expected grade and tail probability of every text, next to the ``carry`` columns (doc_id by default).
     A null or empty text has no bucket: its score is 0. One pass, no shuffle."""
-    carried = docs.select(*[f"`{c}`" for c in carry], F.coalesce("text", F.lit("")).alias("__text")) if carry else texts(docs).withColumnRenamed("text", "__text")
-    names = [c for c in carried.columns if c != "__text"]
+    carried = docs.select(*[f"`{c}`" for c in carry]) if carry else texts(docs)
+    at_text = carried.columns.index("text")
+    kept = [k for k, c in enumerate(carried.columns) if carry or c != "text"]
+    names = [carried.columns[k] for k in kept]
     wanted, weights = model.weights != 0, model.weights
-    schema = carried.drop("__text").schema.add("__expected", "double").add("__tail", "double")
+    schema = carried.select(*[f"`{c}`" for c in names]).schema.add("__expected", "double").add("__tail", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in slices(batches, "__text"):
+        for part, data, at in slices(batches, at_text):
             row, bucket = features(data, at, wanted)
             expected, tail = model.expected_and_tail(np.bincount(row, weights[bucket], part.num_rows))
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(expected), pa.array(tail)], [*names, "__expected", "__tail"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(expected), pa.array(tail)], [*names, "__expected", "__tail"])
 
     return carried.mapInArrow(task, schema)
 

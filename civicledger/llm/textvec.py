@@ -22,14 +22,14 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[at[0]:at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 3 << 20
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 1 << 20
            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut record batches into runs of rows with about ``limit`` bytes of text, so that memory does not
     depend on the batch size. A longer text is a slice of its own, never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, at = raw_bytes(batch[column] if isinstance(column, str) else column)
+        data, at = raw_bytes(batch.column(column))
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
@@ -58,8 +58,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; sizes are rounded up so that few are ever built."""
-    size = 1 << max(22, (n - 1).bit_length())
-    return (_powers(base, size) if size == 1 << 22 else _powers.__wrapped__(base, size))[:n]
+    size = 1 << max(20, (n - 1).bit_length())
+    return (_powers(base, size) if size <= 1 << 22 else _powers.__wrapped__(base, size))[:n]
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
