@@ -29,6 +29,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's plans are garbage
+    collected, which a quiet driver may not do for half an hour."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove everything this application has staged; call it once the results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))

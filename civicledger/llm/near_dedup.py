@@ -225,3 +225,17 @@ def one_of_each_group(docs: DataFrame, percent: int = 85) -> DataFrame:
     gone = staged(near_groups(docs, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     slim = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(slim, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.c)
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, id = min(c) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY id"""

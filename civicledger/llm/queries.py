@@ -22,4 +22,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_minhash_near_dedup": near_dedup.OP4_SQL,
+    "op9_suffix_dedup": suffixes.OP9_SQL,
 }

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from civicledger.llm.common import staged, texts
+from civicledger.llm.common import reclaim, staged, texts
 from civicledger.llm.textvec import U, mixed, range_hashes, raw_bytes, slices, spread
 
 DEPTH = 50                          # bytes of a window: suffixes are ordered no deeper
@@ -70,6 +70,20 @@ def _bytes(a: np.ndarray, kind: str) -> bytes:
     return a.astype(kind).tobytes()
 
 
+def bucket_of(ids: np.ndarray, ths: np.ndarray, buckets: int) -> np.ndarray:
+    """Group of documents that one task gathers."""
+    return group_of(mixed(ths.astype(np.int64).view(U) ^ mixed(ids.astype(np.int64).view(U))), buckets)
+
+
+def packed_text(a: np.ndarray) -> bytes:
+    """Length and zstd frame; pieces overlap, so they are worth more than the shuffle's fast codec."""
+    return len(a).to_bytes(8, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_text(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     new = np.ones(len(keys[0]), bool)
@@ -81,7 +95,8 @@ def repeated_anchors(firsts: DataFrame, groups: int) -> DataFrame:
     """(id, th, keys): the short keys of each document's anchors that another document has too.
 
     Tasks write the anchors of many documents as one packed row per group, 4 bytes an anchor, instead of
-    a row per anchor; a group's task sorts them and answers to each document.
+    a row per anchor; a group's task sorts them and sends what is shared, packed again, to the tasks that
+    gather it by document.
     """
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
@@ -130,16 +145,34 @@ def repeated_anchors(firsts: DataFrame, groups: int) -> DataFrame:
             hit = np.zeros(len(keys), bool)
             hit[order] = np.repeat(many, np.diff(np.append(start, len(own))))
             doc, keys = doc[hit], keys[hit].astype(np.int64) | g << 32
-            with_any = _runs(doc) if len(doc) else np.empty(0, np.int64)
-            ends = np.append(with_any, len(doc)).astype(np.int32)
-            d = doc[with_any]
-            out = pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(ths[d]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["id", "th", "keys"])
-            for k in range(0, out.num_rows, 10_000):
-                yield out.slice(k, 10_000)
+            bucket = bucket_of(ids, ths, groups)[doc]
+            order = np.argsort(bucket, kind="stable")
+            doc, keys, bucket = doc[order], keys[order], bucket[order]
+            edges = [*_runs(bucket).tolist(), len(doc)] if len(doc) else [0]
+            for x, y in zip(edges[:-1], edges[1:]):
+                own = _runs(doc[x:y])
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[x])], pa.int32()), *(pa.array([c], pa.binary()) for c in (
+                    _bytes(ids[doc[x:y][own]], "<i8"), _bytes(ths[doc[x:y][own]], "<i8"), _bytes(np.diff(np.append(own, y - x)), "<u4"), _bytes(keys[x:y], "<i8")))],
+                    ["bucket", "ids", "ths", "counts", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = ("<i8", "<i8", "<u4", "<i8")
+        got = [[np.frombuffer(x, k) for x in b[c].to_pylist()] for b in batches for c, k in zip(("ids", "ths", "counts", "keys"), kinds)]
+        if not got:
+            return
+        ids, ths, counts, keys = (np.concatenate([x for part in got[k::4] for x in part]) for k in range(4))
+        doc = np.repeat(np.arange(len(ids)), counts)
+        order = np.lexsort((ths[doc], ids[doc]))
+        ids, ths, keys = ids[doc[order]], ths[doc[order]], keys[order]
+        docs = _runs(ids, ths)
+        ends = pa.array(np.append(docs, len(ids)).astype(np.int32))
+        out = pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(ths[docs]), pa.ListArray.from_arrays(ends, pa.array(keys))], ["id", "th", "keys"])
+        for k in range(0, out.num_rows, 10_000):
+            yield out.slice(k, 10_000)
 
     packed = firsts.mapInArrow(collect, "grp int, ids binary, ths binary, counts binary, keys binary").repartitionById(groups, F.col("grp"))
-    shared = packed.mapInArrow(compare, "id long, th long, keys array<long>")
-    return staged(shared.groupBy("id", "th").agg(F.flatten(F.collect_list("keys")).alias("keys")), "anchors")
+    shared = packed.mapInArrow(compare, "bucket int, ids binary, ths binary, counts binary, keys binary").repartitionById(groups, F.col("bucket"))
+    return staged(shared.mapInArrow(answer, "id long, th long, keys array<long>"), "anchors")
 
 
 def suffix_pieces(firsts: DataFrame, anchors: DataFrame, groups: int, sorters: int) -> DataFrame:
@@ -163,7 +196,7 @@ def suffix_pieces(firsts: DataFrame, anchors: DataFrame, groups: int, sorters: i
                 o, kept = order[a:b], order[a:b][new[a:b]]
                 yield pa.RecordBatch.from_arrays([pa.array([int(to_[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in (
                     _bytes(ids[o], "<i8"), _bytes(ths[o], "<i8"), _bytes(place[o], "<i4"), _bytes(content[a:b] - content[a], "<i4"), _bytes(size[kept], "u1"),
-                    text[spread(begin[kept], lens[kept])].tobytes()))], ["sorter", "ids", "ths", "places", "contents", "sizes", "text"])
+                    packed_text(text[spread(begin[kept], lens[kept])])))], ["sorter", "ids", "ths", "places", "contents", "sizes", "text"])
 
         for part, data, at in slices(batches):
             first, size, h, row = anchored_runs(data, at)
@@ -222,8 +255,9 @@ def radix_groups(text: np.ndarray, start: np.ndarray, least: np.ndarray, most: n
     return out
 
 
-def sort_suffixes(pieces: DataFrame) -> DataFrame:
-    """(id, th, starts, ends): byte ranges covered by windows that a smaller id has as well."""
+def sort_suffixes(pieces: DataFrame, buckets: int) -> DataFrame:
+    """(id, th, starts, ends): byte ranges covered by windows that a smaller id has as well, a row for each
+    document. Sorters write one packed row for each of ``buckets`` groups of documents."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for b in batches:
@@ -231,7 +265,8 @@ def sort_suffixes(pieces: DataFrame) -> DataFrame:
                 got.setdefault(s, []).append(cols)
         for blobs in got.values():
             kinds = ("<i8", "<i8", "<i4", "<i4", "u1", "u1")
-            arrays = [[np.frombuffer(x[k], kind) for x in blobs] for k, kind in enumerate(kinds)]
+            arrays = [[np.frombuffer(x[k], kind) for x in blobs] for k, kind in enumerate(kinds[:5])]
+            arrays.append([np.frombuffer(unpacked_text(x[5]), "u1") for x in blobs])
             shift = np.cumsum([0] + [len(x) for x in arrays[4]])
             ids, ths, place = (np.concatenate(arrays[k]) for k in range(3))
             content = np.concatenate([x.astype(np.int64) + d for x, d in zip(arrays[3], shift)])
@@ -257,16 +292,31 @@ def sort_suffixes(pieces: DataFrame) -> DataFrame:
             start = np.flatnonzero(run)
             stop = np.append(start[1:], len(entry)) - 1
             entry, lo, hi = entry[start], where[start], where[stop] + DEPTH
-            order = np.lexsort((lo, ths[entry], ids[entry]))
-            entry, lo, hi = entry[order], lo[order], hi[order]
-            docs = _runs(ids[entry], ths[entry])
-            ends = pa.array(np.append(docs, len(entry)).astype(np.int32))
-            out = pa.RecordBatch.from_arrays([pa.array(ids[entry[docs]]), pa.array(ths[entry[docs]]), pa.ListArray.from_arrays(ends, pa.array(lo.astype(np.int32))),
-                                              pa.ListArray.from_arrays(ends, pa.array(hi.astype(np.int32)))], ["id", "th", "starts", "ends"])
-            for k in range(0, out.num_rows, 10_000):
-                yield out.slice(k, 10_000)
-
-    return pieces.mapInArrow(task, "id long, th long, starts array<int>, ends array<int>")
+            ids, ths = ids[entry], ths[entry]
+            bucket = bucket_of(ids, ths, buckets)
+            order = np.lexsort((lo, ths, ids, bucket))
+            edges = [*_runs(bucket[order]).tolist(), len(order)]
+            rows = [(int(bucket[order[x]]), *(_bytes(c[order[x:y]], k) for c, k in ((ids, "<i8"), (ths, "<i8"), (lo, "<i4"), (hi, "<i4")))) for x, y in zip(edges[:-1], edges[1:])]
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "ids", "ths", "lows", "highs"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = ("<i8", "<i8", "<i4", "<i4")
+        got = [[np.frombuffer(x, k) for x in b[c].to_pylist()] for b in batches for c, k in zip(("ids", "ths", "lows", "highs"), kinds)]
+        if not got:
+            return
+        ids, ths, lo, hi = (np.concatenate([x for part in got[k::4] for x in part]) for k in range(4))
+        order = np.lexsort((lo, ths, ids))
+        ids, ths, lo, hi = ids[order], ths[order], lo[order], hi[order]
+        docs = _runs(ids, ths)
+        ends = pa.array(np.append(docs, len(ids)).astype(np.int32))
+        out = pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(ths[docs]), pa.ListArray.from_arrays(ends, pa.array(lo)), pa.ListArray.from_arrays(ends, pa.array(hi))],
+                                         ["id", "th", "starts", "ends"])
+        for k in range(0, out.num_rows, 10_000):
+            yield out.slice(k, 10_000)
+
+    packed = pieces.mapInArrow(task, "bucket int, ids binary, ths binary, lows binary, highs binary").repartitionById(buckets, F.col("bucket"))
+    return packed.mapInArrow(merge, "id long, th long, starts array<int>, ends array<int>")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -281,8 +331,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     firsts = keyed.filter(F.col("n") >= DEPTH).select("id", "th", "text").join(few, ["id", "th"], "left_anti")
     anchors = repeated_anchors(firsts, groups)
-    found = staged(sort_suffixes(suffix_pieces(firsts, anchors, groups, sorters)), "ranges")
-    merged = found.groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    merged = staged(sort_suffixes(suffix_pieces(firsts, anchors, groups, sorters), groups), "ranges")
     whole = copies.filter(F.col("n") >= DEPTH).select("id", "th", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
     return merged.unionByName(whole)
 
@@ -301,6 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are exactly the repeated windows.
     """
     ranges = repeated_ranges(docs)
+    reclaim(docs.sparkSession)
     rows = texts(docs).select("doc_id", *doc_key(), "text").join(ranges, ["id", "th"], "left").select("doc_id", "text", "starts", "ends")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,3 +378,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op9(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT k, min(doc_id) AS lo FROM w GROUP BY k),
+g AS (SELECT w.doc_id, p FROM w JOIN f USING (k) WHERE f.lo < w.doc_id),
+b AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b),
+s AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM r GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, hi - lo AS gone, lo, coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) AS start FROM s),
+t AS (SELECT k.doc_id, sum(gone) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * start + 1, 2 * (lo - start)), '' ORDER BY lo) AS front FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+e AS (SELECT doc_id, max(hi) AS hi FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE front || substr(h, 2 * hi + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)"""

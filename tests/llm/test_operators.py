@@ -256,7 +256,11 @@ def test_chunks_settle_after_an_insertion():
     assert fingerprints.containment(x, fingerprints.chunk_records([bytes(reversed(a))])[0]) < 0.05
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("task_bytes", [None, 4000])
+def test_suffix_dedup(docs, monkeypatch, task_bytes):
+    if task_bytes:                  # many groups, sorters and buckets
+        monkeypatch.setattr(suffixes, "ANCHOR_BYTES", task_bytes)
+        monkeypatch.setattr(suffixes, "SORT_BYTES", task_bytes)
     assert rows(suffixes.op9(docs)) == Counter(brute.repeats(PLAIN))
 
 
