@@ -13,10 +13,11 @@ from civicledger.llm.components import connected_components
 from civicledger.llm.textvec import BASE, TO_LOWER, U, mixed, range_hashes, slices, words
 
 WIDTH = 5
-CHUNKS, PER_CHUNK = 12, 8       # a chunk: 8 values of 8 bits, one long
+CHUNKS, PER_CHUNK = 12, 8       # a chunk: up to 8 values of 8 bits, one long
 VALUES = CHUNKS * PER_CHUNK
 #: A pair that differs in at most this many values has a chunk with at most one of them (pigeonhole).
 GUARANTEED = 2 * CHUNKS - 1
+MISSED = 3e-6                   # chance that a pair at the threshold meets in no bucket
 BLOCK = 1000                    # members of a bucket that one join key takes
 BROADCAST_IDS = 200_000         # ids up to which a filter on documents is broadcast; more go through a shuffle
 
@@ -53,9 +54,18 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[
     return h[new], row[new]
 
 
-def signatures(docs: DataFrame, values: int = VALUES) -> DataFrame:
+def per_chunk(percent: int) -> int:
+    """Values of a chunk: as many as leave a pair at the threshold a chance of at most ``MISSED`` of meeting
+    in no bucket. A lower threshold has shorter chunks."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return next(k for k in range(PER_CHUNK, 0, -1) if (1 - p ** k - k * p ** (k - 1) * (1 - p)) ** CHUNKS <= MISSED)
+
+
+def signatures(docs: DataFrame, values: int = VALUES, per: int = PER_CHUNK) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash (set_a, set_b) of the shingle set and the b-bit MinHash signature
-    as one long for 8 values (null for texts without words). One pass, no shuffle."""
+    as one long for ``per`` values (null for texts without words). One pass, no shuffle."""
+    longs_each = values // per
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in slices(batches):
             h, row = shingle_sets(data, at)
@@ -63,16 +73,16 @@ def signatures(docs: DataFrame, values: int = VALUES) -> DataFrame:
             n = np.bincount(row, minlength=rows)
             has = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[has]
-            sig = np.zeros((rows, values), np.uint8)
+            sig = np.zeros((rows, 8 * longs_each), np.uint8)
             a, b = np.zeros(rows, U), np.zeros(rows, U)
             if len(has):
                 a[has] = np.add.reduceat(mixed(h + U(1)), begin)
                 b[has] = np.add.reduceat(mixed(h ^ U(BASE)), begin)
                 for k in range(values):
-                    sig[has, k] = np.minimum.reduceat(((h ^ XORS[k]) * FACTORS[k]) >> U(32), begin).astype(np.uint8)
-            longs, per = pa.array(sig.view(np.int64).reshape(-1)), values // 8
-            ends = np.append(0, np.cumsum(np.where(n > 0, per, 0))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), longs.filter(pa.array(np.repeat(n > 0, per))))
+                    sig[has, k // per * 8 + k % per] = np.minimum.reduceat(((h ^ XORS[k]) * FACTORS[k]) >> U(32), begin).astype(np.uint8)
+            longs = pa.array(sig.view(np.int64).reshape(-1))
+            ends = np.append(0, np.cumsum(np.where(n > 0, longs_each, 0))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), longs.filter(pa.array(np.repeat(n > 0, longs_each))))
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
                                              ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
@@ -107,12 +117,12 @@ def wide_distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(differing(a, b))), F.lit(0), lambda s, d: s + d)
 
 
-def first_key(x: str, y: str) -> Column:
+def first_key(x: str, y: str, per: int = PER_CHUNK) -> Column:
     """Number of the first index key that two signatures share: a pair meets in many buckets and is
     looked at in this one only."""
     def at(c: int) -> Column:
         d = differing(F.col(x)[c], F.col(y)[c])
-        return F.when(F.bit_count(d) <= 1, c * PER_CHUNK + F.floor(F.bit_count(d - 1) / 8) % 8)
+        return F.when(F.bit_count(d) <= 1, c * per + F.floor(F.bit_count(d - 1) / 8) % 8)
     return F.coalesce(*[at(c) for c in range(CHUNKS)])
 
 
@@ -122,15 +132,15 @@ def distance_limit(similarity: float, values: int, sigmas: float = 5.0) -> int:
     return int(values * p + sigmas * sqrt(values * p * (1 - p)))
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, per: int = PER_CHUNK) -> DataFrame:
     """(key, node): each chunk with each one of its values left out, so that two chunks with at most one
     error share a key. The low seven bits of a key are its number."""
     def without(i: int) -> Column:
         mask = (1 << 64) - 1 - (0xFF << 8 * i)
-        number = F.col("c") * PER_CHUNK + i
+        number = F.col("c") * per + i
         return F.xxhash64(number, F.col("v").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))).bitwiseAND(F.lit(-128)).bitwiseOR(number.cast("long"))
     return (classes.select("node", F.posexplode("sig").alias("c", "v"))
-            .select("node", F.explode(F.array(*[without(i) for i in range(PER_CHUNK)])).alias("key")))
+            .select("node", F.explode(F.array(*[without(i) for i in range(per)])).alias("key")))
 
 
 def of_nodes(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -154,7 +164,7 @@ def node_id() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
-def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Equal shingle sets are one class from the start, however many rows hold them. Classes meet in
@@ -169,14 +179,16 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     n_shingles 0. Rows with the same doc_id count as one document; a null doc_id is the smallest id and
     gives component_id null. Empty tables give no rows.
     """
-    base = staged(signatures(docs).withColumn("node", node_id()), "signatures")
+    per = per_chunk(percent)
+    values = CHUNKS * per
+    base = staged(signatures(docs, values, per).withColumn("node", node_id()), "signatures")
     classes = staged(base.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
                      .agg(F.min("node").alias("node"), F.first("sig").alias("sig")), "classes")
-    keys = index_keys(classes)
+    keys = index_keys(classes, per)
     buckets = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("__last"), F.count("*").alias("n")).filter("head < __last").drop("__last")
     members = staged(keys.join(buckets, "key"), "members")
     traits = classes.select("node", "set_a", F.col("n_shingles").alias("size"), "sig")
-    limit, wide_limit = (distance_limit(percent / 100, v) for v in (VALUES, WIDE))
+    limit, wide_limit = (distance_limit(percent / 100, v) for v in (values, WIDE))
 
     def close() -> Column:
         return ((100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")) & (distance("sig_x", "sig_y") <= limit))
@@ -203,7 +215,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     y = side("y", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     more = x.join(y, ["key", "block"]).filter(
         (F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & close()
-        & (first_key("sig_x", "sig_y") == F.col("key").bitwiseAND(F.lit(127))) & (wide_distance("wide_x", "wide_y") <= wide_limit))
+        & (first_key("sig_x", "sig_y", per) == F.col("key").bitwiseAND(F.lit(127))) & (wide_distance("wide_x", "wide_y") <= wide_limit))
     more = staged(more.select("x", "y").distinct(), "pairs")
     if not more.isEmpty():
         links = staged(links.unionByName(confirm(docs, classes, more, percent)), "links")
@@ -215,11 +227,11 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    g = near_groups(docs)
+    g = near_groups(docs, 85)
     return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame, percent: int = 85) -> DataFrame:
+def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group: the smallest doc_id. Only the ids that go
     meet the documents again, broadcast if they are few, else in a join."""
     gone = staged(near_groups(docs, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")

@@ -151,6 +151,36 @@ def test_chain_of_links_is_one_component(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_groups(df).collect()) == [(i, c) for i, _, c in sorted(brute.near(data))]
 
 
+def test_stage_links_pairs_between_80_and_85(spark):
+    """The stage drops copies at 0.80 to below 0.85, which op4 keeps; its index is made for its own threshold."""
+    import corpus_pipeline
+    r = random.Random(11)
+    data = []
+    for k in range(40):
+        base = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(104)]
+        near = list(base)
+        near[30] = near[60] = "changed"             # 10 of 100 shingles: 90 / 110
+        far = list(base)
+        far[20] = far[50] = far[80] = "moved"       # 85 / 115, below either threshold
+        data += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {i for i, _, c in brute.near(data, 80) if i == c}
+    assert len(want) == 80 and {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == want
+    assert near_dedup.op4(df).filter("kept").count() == 120
+    for percent in (80, 85, 90):
+        p, k = percent / 100 + (1 - percent / 100) / 256, near_dedup.per_chunk(percent)
+        assert (1 - p ** k - k * p ** (k - 1) * (1 - p)) ** near_dedup.CHUNKS < 3e-6
+
+
+def test_stage_on_documents_links_at_80(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = {i for i, _, c in brute.near(data, 80) if i == c}
+    assert want < {i for i, _, c in brute.near(data, 85) if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
