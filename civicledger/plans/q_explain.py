@@ -319,7 +319,7 @@ def _(t):
     ELSE 'Implementing agency ' || ag || ' has a ' || round_even(rate * 100, 0)::INT || '% historical delay rate across ' || n || ' projects, ' || CASE WHEN rate > 0.25 THEN 'exceeding' ELSE 'within' END || ' the 25% benchmark.' END FROM er WHERE engine = 'agency_pattern'
   UNION ALL SELECT project_id, 'cost_overrun_pct', CASE WHEN over > 0 THEN 'Expenditure exceeds sanctioned amount by ' || format('{:.1f}', round_even(over, 1)) || '%.' ELSE 'Expenditure is within approved sanction.' END FROM er WHERE engine = 'cost_anomaly' AND sanc <> 0 AND (over <> 0 OR cost > sanc)""", "er"))
 def _(t):
-    return J.evidence_statements(engine_rows(t)).filter(F.col("metric_key").isin("delay_days", "agency_delay_rate", "cost_overrun_pct")).select("project_id", "metric_key", "statement")
+    return J.evidence_statements(engine_rows(t)).select("project_id", "metric_key", "statement")
 
 
 @query("j13_indian_formats", sql("""WITH a AS (SELECT project_id, expenditure_amount AS v, CAST(floor(expenditure_amount) AS BIGINT)::VARCHAR AS w, utilization_rate_pct AS u FROM financials)
@@ -332,7 +332,7 @@ def _(t):
 @query("j14_structured_explanations", sql("""SELECT project_id, tier AS risk_level, count(*) FILTER (score >= 30) AS triggered_detectors_count, arg_min(engine, factor_rank) AS top_engine, round(max(contribution) / nullif(max(overall), 0) * 100, 1) AS top_share FROM rk JOIN ov USING (project_id) GROUP BY 1, 2""", "rk", "ov"))
 def _(t):
     d = J.structured_explanation(engine_rows(t), overall(t))
-    return d.select("project_id", "risk_level", "triggered_detectors_count", F.col("factors")[0]["engine"].alias("top_engine"), F.when(F.col("overall_risk_score") > 0, F.col("factors")[0]["percentage_of_total"]).alias("top_share"))
+    return d.select("project_id", "risk_level", "triggered_detectors_count", F.col("factors")[0]["engine"].alias("top_engine"), F.when(F.col("overall_risk_score") > 0, F.col("factors")[0]["percentage_of_total"]).alias("top_share"), "factors")
 
 
 @query("j15_factor_details", sql("SELECT project_id, factor_name, engine_name, coalesce(CASE WHEN project_id % 5 <> 0 THEN score END, 20.0)::DOUBLE AS score, round(coalesce(CASE WHEN project_id % 5 <> 0 THEN score END, 20.0) * 0.2::DOUBLE, 2) AS contribution, factor_impact FROM risk_factors", "risk_factors"))

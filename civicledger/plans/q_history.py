@@ -37,10 +37,8 @@ def _(t):
   ELSE 'changes' END AS change_summary, CASE WHEN project_status <> p_status THEN 'Project status changed from ''' || p_status || ''' to ''' || project_status || '''.' END AS status_text FROM changed""", "changed"))
 def _(t):
     d = K.change_log(t["snapshots"], SNAP)
-    s = F.col("change_summary")
-    plain = F.col("is_initial") | (F.col("changes_count") == 0)
     status = F.filter("changes", lambda x: x["field_name"] == "project_status")
-    return d.select("snapshot_id", "changes_count", F.when(plain, s).otherwise("changes").alias("change_summary"), F.when(F.size(status) > 0, F.element_at(status, 1)["summary"]).alias("status_text"))
+    return d.select("snapshot_id", "changes_count", "change_summary", F.when(F.size(status) > 0, F.element_at(status, 1)["summary"]).alias("status_text"))
 
 
 def payload(t):

@@ -231,3 +231,50 @@ def test_duplicate_engine_takes_vector_matches_and_thresholds(spark):
     label = lambda **k: {r.project_id: r.c for r in S.duplicate_detection(p, m, neural=True, **k).selectExpr("project_id", "get_json_object(details, '$.duplicate_classification') c").collect()}
     assert label() == {0: "NONE", 1: "STRONG_DUPLICATE", 2: "NONE", 3: "NONE", 4: "NONE", 5: "NONE"}
     assert label(possible=0.65, strong=0.95)[0] == "POSSIBLE_DUPLICATE" and label(possible=0.65, strong=0.95)[1] == "POSSIBLE_DUPLICATE"
+
+
+def test_evidence_statements_are_whole(spark, tables):
+    """All six kinds, three of which the reference SQL leaves out."""
+    import json
+    from decimal import ROUND_HALF_EVEN, Decimal
+    from civicledger.plans import catalog  # noqa: F401  (registers in order)
+    from civicledger.plans.q_explain import engine_rows
+    from civicledger.plans.registry import CATALOG
+    whole = lambda x: int(Decimal(repr(float(x))).quantize(Decimal(1), ROUND_HALF_EVEN))
+    want = Counter()
+    for r in engine_rows(tables).collect():
+        d, k = json.loads(r["details"]), r["project_id"]
+        if r["engine"] == "cost_anomaly" and d.get("evaluated_cost") and d.get("peer_median"):
+            m = Decimal(repr(d["evaluated_cost"] / d["peer_median"])).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+            want[k, "cost_multiplier", f"Cost is {str(m).rstrip('0').rstrip('.')}× peer median."] += 1
+        elif r["engine"] == "progress_mismatch":
+            fp, pp = d["financial_progress"], d["physical_progress"]
+            f2 = fp * 100 if 0 < fp <= 1 and pp <= 1 else fp
+            p2 = pp * 100 if 0 < pp <= 1 and f2 > 1 else pp
+            n, (hi, lo) = whole(abs(f2 - p2)), ("Financial", "physical") if f2 > p2 else ("Physical", "financial")
+            text = "Financial progress matches physical progress." if f2 == p2 else f"{hi} progress exceeds {lo} progress by {n} percentage point{'s' * (n != 1)}."
+            want[k, "progress_gap", text] += 1
+        elif r["engine"] == "duplicate_detection":
+            sim = d["similarity"]
+            thr = 85 if sim >= 0.85 else 60
+            word = "exceeding" if sim * 100 >= thr else "within"
+            want[k, "similarity_score", f"Project description has {whole(sim * 100)}% similarity with project {d['matched_project_id']}, {word} the {thr}% duplicate threshold."] += 1
+    got = Counter(tuple(r) for r in CATALOG["j12_evidence_statements"].build(tables).collect())
+    assert {k for _, k, _ in got} == {"cost_multiplier", "cost_overrun_pct", "delay_days", "progress_gap", "similarity_score", "agency_delay_rate"}
+    assert Counter({r: n for r, n in got.items() if r[1] in ("cost_multiplier", "progress_gap", "similarity_score")}) == want
+
+
+def test_change_summaries_and_factors_are_whole(spark, tables):
+    from civicledger.plans import catalog  # noqa: F401  (registers in order)
+    from civicledger.plans.q_explain import engine_rows
+    from civicledger.plans.q_history import SNAP
+    from civicledger.plans.registry import CATALOG
+    log = {r["snapshot_id"]: r for r in K.change_log(tables["snapshots"], SNAP).collect()}
+    got = {r["snapshot_id"]: r["change_summary"] for r in CATALOG["k3_change_summaries"].build(tables).collect()}
+    assert set(got) == set(log) and "changes" not in got.values()
+    changed = [i for i, r in log.items() if not r["is_initial"] and r["changes_count"]]
+    assert changed and all(c["summary"] in got[i] for i in changed for c in log[i]["changes"])
+    want = Counter((r["project_id"], r["engine"], r["contribution"]) for r in engine_rows(tables).collect())
+    rows = CATALOG["j14_structured_explanations"].build(tables).collect()
+    assert Counter((r["project_id"], f["engine"], f["contribution"]) for r in rows for f in r["factors"]) == want
+    assert all(r["factors"][0]["engine"] == r["top_engine"] for r in rows)
