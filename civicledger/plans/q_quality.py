@@ -81,7 +81,7 @@ def _(t):
     UNION ALL SELECT 'cost_deviation', round_even({QF.E} - {QF.S}, 2), true FROM joined UNION ALL SELECT 'planned_duration_days', {QF._pos('expected_completion_date', QF.START)}, false FROM joined)
   SELECT feature, min(x) AS minimum, max(x) AS maximum, round(avg(x), 4) AS mean, count(*) - count(x) AS missing_count, count(*) FILTER (NOT signed AND x < 0) AS invalid_count, quantile_cont(x, 0.5) AS median FROM f GROUP BY 1""", "joined"))
 def _(t):
-    df = QF._joined(t)
+    df = H.load_joined(t)
     for step in (H.delay_days, H.durations, H.cost_deviation):
         df = step(df, QF.CFG)
     return C.feature_report(df, ["delay_days", "is_delayed", "cost_deviation", "planned_duration_days"]).drop("example_values")

@@ -141,7 +141,7 @@ def _(t):
   UNION ALL SELECT 'planned_duration_days', count(*) FILTER (planned_duration_days NOT BETWEEN 15 AND 1825), count(*) - count(planned_duration_days) FROM f""", "joined"))
 def _(t):
     names = ["delay_days", "utilization_ratio", "cost_per_category", "progress_gap", "cost_deviation", "project_duration", "planned_duration_days"]
-    df = H.feature_pipeline(QF._joined(t), QF.CFG).select(*names)
+    df = H.feature_pipeline(H.load_joined(t), QF.CFG).select(*names)
     return P.check_feature_contract(df).select("feature", "out_of_range", "missing")
 
 
