@@ -40,7 +40,7 @@ def test_pipeline_against_plain_versions(spark):
         elif name == "line_dedup":
             assert {i: brute.sha(t) for i, t in got.items()} == {i: s for i, _, _, s in brute.lines(before)}
         elif name == "near_dedup":
-            assert set(got) == {i for i, _, c in brute.near(before) if i == c}
+            assert set(got) == {i for i, _, c in brute.near(before, 80) if i == c}
         elif name == "pii":
             assert set(got) == {i for i, _ in before} and not any(brute.personal(t) for t in got.values())
             assert all(got[i] == t for i, t in before if not pii.base_spans(t) and not pii.further_spans(t, []))
