@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from civicledger.llm import bpe, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, sharding, suffixes
+from civicledger.llm import bpe, conversations, exact_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, sharding, spelling, suffixes, warc
 from civicledger.llm.common import documents
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_fingerprints": lambda spark, sf_dir: fingerprints.compare_with_next(documents(spark, sf_dir)),
     "op9_suffix_dedup": lambda spark, sf_dir: suffixes.op9(documents(spark, sf_dir)),
     "op10_sharding": lambda spark, sf_dir: sharding.shard_documents(documents(spark, sf_dir)),
+    "op11_spelling_variants": lambda spark, sf_dir: spelling.op11(documents(spark, sf_dir)),
+    "op12_warc": lambda spark, sf_dir: warc.op12(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+    "op13_conversation_repair": lambda spark, sf_dir: conversations.op13(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_minhash_near_dedup": near_dedup.OP4_SQL,
     "op9_suffix_dedup": suffixes.OP9_SQL,
+    "op12_warc": warc.OP12_SQL,
 }
