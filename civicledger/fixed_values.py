@@ -135,3 +135,39 @@ FEATURE_CONTRACT = [
 # --- Fixed values: search ------------------------------------------------------------------
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it",
               "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+# The English stop list of full-text search.
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and",
+    "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now"]
+
+# The published English (Porter2) suffix rules: suffix -> ways (region of the word, pattern of what stands before,
+# replacement), first one that holds; of several suffixes the longest counts. "!" in front negates a pattern.
+ENGLISH_WHOLE_WORDS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli",
+    "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas",
+    "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+ENGLISH_LEFT_AFTER_PLURALS = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+ENGLISH_LONG_PREFIXES = ["gener", "commun", "arsen"]
+ENGLISH_SHORT_SYLLABLE = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+ENGLISH_PLURALS = {"sses": [(0, "", "ss")], "ied": [(0, "..", "i"), (0, "", "ie")], "ies": [(0, "..", "i"), (0, "", "ie")], "us": [], "ss": [], "s": [(0, "[aeiouy].", "")]}
+ENGLISH_PAST = {"eed": [(1, "", "ee")], "eedly": [(1, "", "ee")], "ed": [(0, "[aeiouy]", "")], "edly": [(0, "[aeiouy]", "")], "ing": [(0, "[aeiouy]", "")], "ingly": [(0, "[aeiouy]", "")]}
+ENGLISH_AFTER_PAST = {"at": [(0, "", "ate")], "bl": [(0, "", "ble")], "iz": [(0, "", "ize")], "bb": [(0, "", "b")], "dd": [(0, "", "d")], "ff": [(0, "", "f")], "gg": [(0, "", "g")],
+                      "mm": [(0, "", "m")], "nn": [(0, "", "n")], "pp": [(0, "", "p")], "rr": [(0, "", "r")], "tt": [(0, "", "t")]}
+ENGLISH_FINAL_Y = {"y": [(0, ".[^aeiouy]$", "i")], "Y": [(0, ".[^aeiouy]$", "i")]}
+ENGLISH_DERIVED = {
+    "tional": [(1, "", "tion")], "enci": [(1, "", "ence")], "anci": [(1, "", "ance")], "abli": [(1, "", "able")], "entli": [(1, "", "ent")], "izer": [(1, "", "ize")],
+    "ization": [(1, "", "ize")], "ational": [(1, "", "ate")], "ation": [(1, "", "ate")], "ator": [(1, "", "ate")], "alism": [(1, "", "al")], "aliti": [(1, "", "al")],
+    "alli": [(1, "", "al")], "fulness": [(1, "", "ful")], "ousli": [(1, "", "ous")], "ousness": [(1, "", "ous")], "iveness": [(1, "", "ive")], "iviti": [(1, "", "ive")],
+    "biliti": [(1, "", "ble")], "bli": [(1, "", "ble")], "ogi": [(1, "l$", "og")], "fulli": [(1, "", "ful")], "lessli": [(1, "", "less")], "li": [(1, "[cdeghkmnrt]$", "")]}
+ENGLISH_SECOND_DERIVED = {"tional": [(1, "", "tion")], "ational": [(1, "", "ate")], "alize": [(1, "", "al")], "icate": [(1, "", "ic")], "iciti": [(1, "", "ic")], "ical": [(1, "", "ic")],
+                          "ful": [(1, "", "")], "ness": [(1, "", "")], "ative": [(2, "", "")]}
+ENGLISH_REMOVED = {**{s: [(2, "", "")] for s in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize")}, "ion": [(2, "[st]$", "")]}
+ENGLISH_FINAL_E = {"e": [(2, "", ""), (1, "!" + ENGLISH_SHORT_SYLLABLE, "")], "l": [(2, "l$", "")]}

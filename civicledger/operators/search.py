@@ -114,11 +114,6 @@ def search_predicate(q: str) -> Column:
     return text_match(search_tokens(search_document()), q) | sub
 
 
-def inverted_index(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf) postings; stored by term this serves any number of searches."""
-    return df.select(key, F.explode(search_tokens(text)).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-
-
 def search_rank(df: DataFrame, key: str, text: Column, q: str) -> DataFrame:
     """Documents holding any query word, scored sum(log(1+tf) * idf). Only postings of query words are built."""
     terms = query_terms(q)
@@ -134,10 +129,10 @@ def search_rank(df: DataFrame, key: str, text: Column, q: str) -> DataFrame:
 
 def trigrams(c: Column) -> Column:
     """Distinct letter trigrams of each word, padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    words = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "\x00")
+    padded = F.regexp_replace(words, "([^\x00]+)", "  $1 ")
+    # an empty match at every code point, looking at the three from there on; never inside a surrogate pair
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?![\uDC00-\uDFFF])(?=([^\x00]{3}))"), F.lit(1)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

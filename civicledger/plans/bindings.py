@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from civicledger import fixed_values as fv
 from civicledger.functions import columns as X
+from civicledger.sources.sinks import work_dir
 
+STORED: dict[tuple[str, str, str], object] = {}
 AS_OF = dt.date(2000, 1, 1)
 
 
@@ -35,6 +37,13 @@ class Tables(dict):
         self[role] = df
         return df
 
+    def stored(self, name: str, build):
+        """What ``build(path)`` returns, built once per application and input folder and kept in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in STORED:
+            STORED[key] = build(work_dir(self.spark, name))
+        return STORED[key]
+
     def _raw(self, role: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{role}.parquet")
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from civicledger import fixed_values as fv
-from civicledger.operators import search as S
+from civicledger.operators import analyzers as A, postings as P, search as S
 from civicledger.plans.oracle_tables import CTES, sql
 from civicledger.plans.q_views import MISSING_SQL
 from civicledger.plans.registry import query
@@ -47,31 +47,148 @@ def _(t):
     return t["documents"].select("doc_id", F.size(tk).alias("n_tokens"), F.md5(F.array_join(tk, " ")).alias("digest"))
 
 
+def _choose(rules: dict[str, list]) -> str:
+    """CASE expression over column w for one step."""
+    whens = []
+    for suffix, ways in sorted(rules.items(), key=lambda r: -len(r[0])):
+        stem, inner = f"left(w, length(w) - {len(suffix)})", ""
+        for region, pattern, new in ways:
+            conds = [f"length(w) - {len(suffix)} >= r{region}"] if region else []
+            if pattern:
+                conds.append(("NOT " if pattern[0] == "!" else "") + f"regexp_matches({stem}, '{pattern.lstrip('!')}')")
+            inner += f" WHEN {' AND '.join(conds) or 'TRUE'} THEN {stem} || '{new}'"
+        whens.append(f"WHEN w LIKE '%{suffix}' THEN " + (f"CASE{inner} ELSE w END" if inner else "w"))
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+def stem_steps() -> list[dict[str, str]]:
+    """The English stemmer as steps of column assignments; w is the word, ``was`` its unchanged form."""
+    vc = "^.*?[aeiouy][^aeiouy]"
+    whole = " ".join(f"WHEN was = '{a}' THEN '{b}'" for a, b in fv.ENGLISH_WHOLE_WORDS.items())
+    left = ", ".join(f"'{w}'" for w in fv.ENGLISH_LEFT_AFTER_PLURALS)
+    long = " ".join(f"WHEN w LIKE '{p}%' THEN {len(p)}" for p in fv.ENGLISH_LONG_PREFIXES)
+    keep_left = lambda x: f"CASE WHEN held THEN w ELSE {x} END"
+    cut = " OR ".join(f"was1 LIKE '%{s}'" for s in ("ed", "edly", "ing", "ingly"))
+    match = lambda s: f"length(regexp_extract({s}, '{vc}', 0))"
+    return [
+        {"w": "regexp_replace(regexp_replace(was, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"},
+        {"r1": f"CASE {long} WHEN {match('w')} > 0 THEN {match('w')} ELSE length(w) END"},
+        {"r2": f"CASE WHEN {match('substr(w, r1 + 1)')} > 0 THEN r1 + {match('substr(w, r1 + 1)')} ELSE length(w) END"},
+        {"w": _choose(fv.ENGLISH_PLURALS)},
+        {"held": f"w IN ({left})", "was1": "w"},
+        {"w": keep_left(_choose(fv.ENGLISH_PAST))},
+        # only a removed ending is repaired: eed and eedly are other suffixes
+        {"w": f"CASE WHEN held OR w = was1 OR NOT ({cut}) OR was1 LIKE '%eed' OR was1 LIKE '%eedly' THEN w "
+              f"WHEN regexp_matches(w, '(at|bl|iz|bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN {_choose(fv.ENGLISH_AFTER_PAST)} "
+              f"WHEN r1 >= length(w) AND regexp_matches(w, '{fv.ENGLISH_SHORT_SYLLABLE}') THEN w || 'e' ELSE w END"},
+        {"w": keep_left(_choose(fv.ENGLISH_FINAL_Y))},
+        {"w": keep_left(_choose(fv.ENGLISH_DERIVED))},
+        {"w": keep_left(_choose(fv.ENGLISH_SECOND_DERIVED))},
+        {"w": keep_left(_choose(fv.ENGLISH_REMOVED))},
+        {"w": keep_left(_choose(fv.ENGLISH_FINAL_E))},
+        {"w": f"CASE WHEN length(was) <= 2 THEN was {whole} ELSE replace(w, 'Y', 'y') END"},
+    ]
+
+
+def stem_sql(words: str) -> str:
+    """CTEs that stem column ``was`` of relation ``words``; the last one is ``stemmed``, its stem column w."""
+    have, ctes, last = set(), [], words
+    for k, assign in enumerate(stem_steps()):
+        old = ", ".join(c for c in assign if c in have)
+        ctes.append(f"stem{k} AS MATERIALIZED (SELECT * {f'EXCLUDE ({old})' if old else ''}, {', '.join(f'{e} AS {c}' for c, e in assign.items())} FROM {last})")
+        have |= set(assign)
+        last = f"stem{k}"
+    return ", ".join([*ctes, f"stemmed AS (SELECT * FROM {last})"])
+
+
+ENGLISH_STOP = ", ".join(f"'{w}'" for w in fv.ENGLISH_STOP_WORDS)
+def english_sql(key: str, text: str, table: str) -> str:
+    """CTEs with the English words of a table: stemmed(key, pos, was, w)."""
+    return f"""split AS (SELECT {key} AS key, [w FOR w IN string_split_regex(lower({text}), '[^\\pL\\pN]+') IF w <> ''] AS ws FROM {table}),
+  ew AS (SELECT key, unnest(ws) AS was, unnest(range(len(ws))) AS pos FROM split), kept AS (SELECT * FROM ew WHERE was NOT IN ({ENGLISH_STOP})), {stem_sql('kept')}"""
+
+
+@query("g4_english_words", sql(f"""WITH {english_sql('doc_id', 'text', 'documents')}
+  SELECT key AS doc_id, count(*) AS n_words, md5(string_agg(pos || ':' || w, ' ' ORDER BY pos)) AS digest FROM stemmed GROUP BY 1"""))
+def _(t):
+    words = A.english_words(t["documents"], "doc_id", F.col("text"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: F.concat(x.pos, F.lit(":"), x.term)), " ")
+    return words.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_words"), F.md5(line).alias("digest"))
+
+
+def project_words(t, analyzer="light"):
+    return t.stored(f"project-words-{analyzer}", lambda path: P.build_words(t["projects"], "project_id", S.search_document(), path, analyzer))
+
+
+def document_words(t, analyzer="light"):
+    return t.stored(f"document-words-{analyzer}", lambda path: P.build_words(t["documents"], "doc_id", F.col("text"), path, analyzer))
+
+
 @query("g5_full_text_search", sql(f"""WITH x AS (SELECT project_id, project_title, implementing_agency, mp_name, ' ' || array_to_string({TOK % ('(' + DOC + ')')}, ' ') || ' ' AS line FROM projects)
   SELECT project_id FROM x WHERE (contains(line, ' furniture ') AND contains(line, ' public work ') AND NOT contains(line, ' low ')) OR contains(line, ' block 3 ')""", "projects"))
 def _(t):
-    return t["projects"].filter(S.search_predicate('furniture "public works" -low OR "block 3"')).select("project_id")
+    grams = t.stored("project-grams", lambda path: P.build_trigrams(t["projects"], "project_id", P.identifying_text(), path))
+    return P.search_projects(project_words(t), grams, t["projects"], 'furniture "public works" -low OR "block 3"')
+
+
+@query("g5_substring_search", sql("""SELECT project_id FROM projects WHERE project_title ILIKE '%ery works for customer#00000001%' OR project_code ILIKE '%ery works for customer#00000001%'""", "projects"))
+def _(t):
+    grams = t.stored("project-grams", lambda path: P.build_trigrams(t["projects"], "project_id", P.identifying_text(), path))
+    return P.search_projects(project_words(t), grams, t["projects"], "ery works for Customer#00000001")
 
 
 @query("g5_document_search", sql("""WITH x AS (SELECT doc_id, ' ' || array_to_string(tk, ' ') || ' ' AS line FROM dtok)
   SELECT doc_id FROM x WHERE contains(line, ' their ') OR (contains(line, ' then ') AND NOT contains(line, ' thea '))""", "dtok"))
 def _(t):
-    return t["documents"].filter(S.text_match(S.search_tokens(F.col("text")), "their OR then -thea")).select("doc_id")
+    return P.match(t.spark, document_words(t), "their OR then -thea").select(F.col("key").alias("doc_id"))
 
 
-@query("g6_search_rank", sql("""WITH p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS w FROM dtok) WHERE w IN ('then', 'erenth', 'que') GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM p GROUP BY 1)
-  SELECT doc_id, round(sum(ln(1 + tf) * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS relevance FROM p JOIN d USING (w) GROUP BY 1""", "dtok"))
+@query("g5_excluded_only", sql("""WITH x AS (SELECT doc_id, ' ' || array_to_string(tk, ' ') || ' ' AS line FROM dtok)
+  SELECT doc_id FROM x WHERE NOT (contains(line, ' then ') OR contains(line, ' que la ')) OR contains(line, ' einheit ')""", "dtok"))
 def _(t):
-    return S.search_rank(t["documents"], "doc_id", F.col("text"), "then erenth que")
+    return P.match(t.spark, document_words(t), '-then -"que la" OR einheit').select(F.col("key").alias("doc_id"))
+
+
+# every word of a phrase must stand at its own distance; 'of the' between them counts
+@query("g5_english_phrases", sql(f"""WITH {english_sql('project_id', DOC, 'projects')}, p AS (SELECT DISTINCT a.key FROM stemmed a JOIN stemmed b ON a.key = b.key AND b.pos = a.pos + 2 WHERE a.w = 'work' AND b.w = 'custom'),
+  c AS (SELECT DISTINCT key FROM stemmed WHERE w = 'construct'), n AS (SELECT DISTINCT key FROM stemmed WHERE w = 'furnitur'), s AS (SELECT DISTINCT a.key FROM stemmed a JOIN stemmed b ON a.key = b.key AND b.pos = a.pos + 1 WHERE a.w = 'block' AND b.w = '3')
+  SELECT key AS project_id FROM p WHERE key IN (SELECT key FROM c) AND key NOT IN (SELECT key FROM n) UNION SELECT key FROM s""", "projects"))
+def _(t):
+    return P.match(t.spark, project_words(t, "english"), '"works for customers" constructing -furnitures OR "blocks 3"').select(F.col("key").alias("project_id"))
+
+
+RANK = """p AS (SELECT doc_id, w, count(*) AS tf FROM (%s) WHERE w IN (%s) GROUP BY 1, 2), d AS (SELECT w, count(*) AS df FROM p GROUP BY 1)
+  SELECT doc_id, round(sum(ln(1 + tf) * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS relevance FROM p JOIN d USING (w) GROUP BY 1"""
+
+
+@query("g6_search_rank", sql("WITH " + RANK % ("SELECT doc_id, unnest(tk) AS w FROM dtok", "'then', 'erenth', 'que'"), "dtok"))
+def _(t):
+    return P.rank(t.spark, document_words(t), "then erenth que").select(F.col("key").alias("doc_id"), "relevance")
+
+
+@query("g6_english_rank", sql("WITH " + english_sql("doc_id", "text", "documents") + ", " + RANK % ("SELECT key AS doc_id, w FROM stemmed", "'worthless', 'disgust', 'que'")))
+def _(t):
+    return P.rank(t.spark, document_words(t, "english"), "the worthless and disgusting que").select(F.col("key").alias("doc_id"), "relevance")
 
 
 TRI = "list_distinct(flatten([[('  ' || w || ' ')[i:i+2] FOR i IN range(1, length(w) + 2)] FOR w IN string_split_regex(lower(%s), '[^\\pL\\pN]+') IF w <> '']))"
+FUZZY = f"""WITH x AS (SELECT p_partkey, p_name, {TRI % 'p_name'} AS a, {TRI % "'%s'"} AS b FROM part), y AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS s FROM x)
+  SELECT p_partkey, p_name, round(s, 4) AS similarity FROM y WHERE s > %s OR contains(lower(p_name), '%s')"""
+
+
+def part_grams(t):
+    return t.stored("part-grams", lambda path: P.build_trigrams(t["part"], "p_partkey", F.col("p_name"), path))
+
+
+@query("g7_trigram_search", sql(FUZZY % ("smal wigdet", "0.3", "smal wigdet")))
+def _(t):
+    return P.fuzzy_search(part_grams(t), t["part"].select("p_partkey", "p_name"), "p_partkey", "p_name", "smal wigdet")
 
 
-@query("g7_trigram_search", sql(f"""WITH x AS (SELECT p_partkey, p_name, {TRI % 'p_name'} AS a, {TRI % "'smal wigdet'"} AS b FROM part), y AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS s FROM x)
-  SELECT p_partkey, p_name, round(s, 4) AS similarity FROM y WHERE s > 0.3 OR contains(p_name, 'smal wigdet')"""))
+# a short substring that is far from similar to most names that hold it
+@query("g7_substring_matches", sql(FUZZY % ("get", "0.5", "get")))
 def _(t):
-    return S.fuzzy_search(t["part"].select("p_partkey", "p_name"), "p_name", "smal wigdet")
+    return P.fuzzy_search(part_grams(t), t["part"].select("p_partkey", "p_name"), "p_partkey", "p_name", "get", 0.5)
 
 
 @query("g8_point_lookup", sql("SELECT project_id, project_title, state_name, current_status FROM projects JOIN states USING (state_id) WHERE project_id = 77", "projects", "states"))
