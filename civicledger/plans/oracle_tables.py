@@ -173,7 +173,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id AS snapshot_id, user_id AS project_id, ts AS snapshot_datetime, CASE event_type WHEN 'error' THEN 'Stalled' WHEN 'signup' THEN 'Sanctioned' ELSE 'In Progress' END AS project_status,
                CAST(100000 AS DECIMAL(14,2)) AS sanctioned_amount, CAST(CAST(value AS DECIMAL(14,2)) * 1000 AS DECIMAL(14,2)) AS released_amount,
                CAST(CAST(value AS DECIMAL(14,2)) * 900 AS DECIMAL(14,2)) AS expenditure_amount, CAST(least(value, 100.0) AS DECIMAL(5,2)) AS physical_progress_pct,
-               CASE WHEN event_id % 5 <> 0 THEN CAST(least(value * 0.5::DOUBLE, 100.0) AS DECIMAL(5,2)) END AS financial_progress_pct,
+               CASE WHEN event_id % 5 <> 0 THEN CAST(least(CAST(value AS DECIMAL(14,4)) * 0.5, 100.0) AS DECIMAL(5,2)) END AS financial_progress_pct,
                DATE '2025-01-01' + CAST(k % 3 AS INTEGER) AS expected_completion_date, CASE WHEN k > 90 THEN DATE '2025-06-01' END AS actual_completion_date,
                k AS days_delayed, CASE WHEN k > 60 THEN 'Delayed' ELSE 'On Track' END AS milestone_status, CAST(score AS DECIMAL(5,2)) AS overall_risk_score,
                CASE WHEN score < 30 THEN 'Low' WHEN score < 60 THEN CASE WHEN event_id % 2 = 0 THEN 'Moderate' ELSE 'Medium' END WHEN score < 80 THEN 'High' ELSE 'Critical' END AS risk_level

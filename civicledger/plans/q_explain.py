@@ -317,7 +317,13 @@ def _(t):
 @query("j12_evidence_statements", sql("""SELECT project_id, 'delay_days' AS metric_key, CASE WHEN days > 0 THEN 'Project is delayed by ' || days || CASE days WHEN 1 THEN ' day.' ELSE ' days.' END ELSE 'Project is on schedule.' END AS statement FROM er WHERE engine = 'delay_detection'
   UNION ALL SELECT project_id, 'agency_delay_rate', CASE WHEN n < 3 THEN 'Implementing agency ' || ag || ' has only ' || n || ' historical projects recorded (minimum 3 required for statistical pattern analysis).'
     ELSE 'Implementing agency ' || ag || ' has a ' || round_even(rate * 100, 0)::INT || '% historical delay rate across ' || n || ' projects, ' || CASE WHEN rate > 0.25 THEN 'exceeding' ELSE 'within' END || ' the 25% benchmark.' END FROM er WHERE engine = 'agency_pattern'
-  UNION ALL SELECT project_id, 'cost_overrun_pct', CASE WHEN over > 0 THEN 'Expenditure exceeds sanctioned amount by ' || format('{:.1f}', round_even(over, 1)) || '%.' ELSE 'Expenditure is within approved sanction.' END FROM er WHERE engine = 'cost_anomaly' AND sanc <> 0 AND (over <> 0 OR cost > sanc)""", "er"))
+  UNION ALL SELECT project_id, 'cost_overrun_pct', CASE WHEN over > 0 THEN 'Expenditure exceeds sanctioned amount by ' || format('{:.1f}', round_even(over, 1)) || '%.' ELSE 'Expenditure is within approved sanction.' END FROM er WHERE engine = 'cost_anomaly' AND sanc <> 0 AND (over <> 0 OR cost > sanc)
+  UNION ALL SELECT project_id, 'cost_multiplier', 'Cost is ' || regexp_replace(regexp_replace(format('{:.2f}', round_even(cost / med, 2)), '0+$', ''), '\\.$', '') || '× peer median.' FROM er WHERE engine = 'cost_anomaly' AND cost <> 0 AND med <> 0
+  UNION ALL SELECT project_id, 'progress_gap', CASE WHEN f > p THEN 'Financial progress exceeds physical progress by ' || gap || '.' WHEN p > f THEN 'Physical progress exceeds financial progress by ' || gap || '.' ELSE 'Financial progress matches physical progress.' END
+    FROM (SELECT *, g || CASE g WHEN 1 THEN ' percentage point' ELSE ' percentage points' END AS gap FROM (SELECT *, round_even(round(abs(f - p), 2), 0)::INT AS g FROM (SELECT project_id, f, CASE WHEN pp > 0 AND pp <= 1 AND f > 1 THEN pp * 100 ELSE pp END AS p
+      FROM (SELECT *, CASE WHEN fp > 0 AND fp <= 1 AND pp <= 1 THEN fp * 100 ELSE fp END AS f FROM er WHERE engine = 'progress_mismatch'))))
+  UNION ALL SELECT project_id, 'similarity_score', 'Project description has ' || round_even(sim * 100, 0)::INT || '% similarity with project ' || mid || ', ' || CASE WHEN sim >= 0.60 THEN 'exceeding' ELSE 'within' END || ' the ' || CASE WHEN sim >= 0.85 THEN '85' ELSE '60' END || '% duplicate threshold.'
+    FROM er WHERE engine = 'duplicate_detection'""", "er"))
 def _(t):
     return J.evidence_statements(engine_rows(t)).select("project_id", "metric_key", "statement")
 
@@ -329,7 +335,9 @@ def _(t):
     return t["financials"].select("project_id", X.fmt_inr("expenditure_amount").alias("inr"), X.fmt_pct("utilization_rate_pct").alias("pct"))
 
 
-@query("j14_structured_explanations", sql("""SELECT project_id, tier AS risk_level, count(*) FILTER (score >= 30) AS triggered_detectors_count, arg_min(engine, factor_rank) AS top_engine, round(max(contribution) / nullif(max(overall), 0) * 100, 1) AS top_share FROM rk JOIN ov USING (project_id) GROUP BY 1, 2""", "rk", "ov"))
+@query("j14_structured_explanations", sql("""SELECT project_id, tier AS risk_level, count(*) FILTER (score >= 30) AS triggered_detectors_count, arg_min(engine, factor_rank) AS top_engine, round(max(contribution) / nullif(max(overall), 0) * 100, 1) AS top_share,
+    '[' || string_agg('{"factor_rank":' || factor_rank || ',"engine":"' || engine || '","score":' || score::DOUBLE || ',"contribution":' || contribution::DOUBLE || ',"percentage_of_total":' || coalesce(round(contribution / nullif(overall, 0) * 100, 1), 0.0)::DOUBLE || '}', ',' ORDER BY factor_rank) || ']' AS factors
+  FROM rk JOIN ov USING (project_id) GROUP BY 1, 2""", "rk", "ov"))
 def _(t):
     d = J.structured_explanation(engine_rows(t), overall(t))
     return d.select("project_id", "risk_level", "triggered_detectors_count", F.col("factors")[0]["engine"].alias("top_engine"), F.when(F.col("overall_risk_score") > 0, F.col("factors")[0]["percentage_of_total"]).alias("top_share"), "factors")

@@ -33,8 +33,49 @@ def _(t):
     return d.select("snapshot_id", F.transform("changes", lambda x: x["field_name"]).alias("changed_fields"))
 
 
-@query("k3_change_summaries", sql("""SELECT snapshot_id, CASE WHEN first THEN 1 ELSE len(ch) END AS changes_count, CASE WHEN first THEN 'Initial baseline project snapshot recorded upon first ingestion.' WHEN len(ch) = 0 THEN 'No meaningful project changes detected within numeric tolerance thresholds.'
-  ELSE 'changes' END AS change_summary, CASE WHEN project_status <> p_status THEN 'Project status changed from ''' || p_status || ''' to ''' || project_status || '''.' END AS status_text FROM changed""", "changed"))
+# one decimal, halves away from zero; a small negative number keeps its sign
+_one = lambda x: f"(CASE WHEN ({x}) < 0 AND round(({x})::DECIMAL(18, 6), 1) = 0 THEN '-' ELSE '' END || format('{{:.1f}}', round(({x})::DECIMAL(18, 6), 1)::DOUBLE))"
+_money = lambda x: f"format('{{:,.2f}}', ({x})::DOUBLE)"
+_sign = lambda d: f"CASE WHEN {d} > 0 THEN '+' ELSE '' END"
+
+
+def _money_text(name: str, a: str, b: str) -> str:
+    d = f"({b} - {a})"
+    return (f"'{name} shifted from ₹' || {_money(a)} || ' to ₹' || {_money(b)} || ' (' || {_sign(d)} || '₹' || {_money(d)} || "
+            f"CASE WHEN {a} <> 0 THEN ' (' || {_sign(d)} || {_one(f'{d}::DOUBLE / {a}::DOUBLE * 100')} || '%)' ELSE '' END || ').'")
+
+
+def _percent_text(name: str, a: str, b: str) -> str:
+    return (f"CASE WHEN {a} IS NULL THEN '{name} initialized to ' || {_one(b)} || '%.' ELSE '{name} changed from ' || {_one(a)} || '% to ' || {_one(b)} || '% (' || "
+            f"{_sign(f'({b} - {a})')} || {_one(f'{b} - {a}')} || '%).' END")
+
+
+def _date_text(name: str, a: str, b: str) -> str:
+    return (f"CASE WHEN {a} IS NULL THEN '{name} set to ' || {b} || '.' WHEN {b} IS NULL THEN '{name} cleared from ' || {a} || '.' "
+            f"ELSE '{name} moved from ' || {a} || ' to ' || {b} || ' (' || {_sign(f'({b} - {a})')} || ({b} - {a}) || ' days).' END")
+
+
+STATUS_TEXT = "'Project status changed from ''' || p_status || ''' to ''' || project_status || '''.'"
+CHANGE_TEXTS = {
+    "project_status": STATUS_TEXT,
+    "released_amount": _money_text("Released Amount", "p_rel", "released_amount"),
+    "expenditure_amount": _money_text("Expenditure Amount", "p_exp", "expenditure_amount"),
+    "physical_progress_pct": _percent_text("Physical Progress", "p_phy", "physical_progress_pct"),
+    "financial_progress_pct": _percent_text("Financial Progress", "p_fin", "financial_progress_pct"),
+    "expected_completion_date": _date_text("Expected Completion Date", "p_ed", "expected_completion_date"),
+    "actual_completion_date": _date_text("Actual Completion Date", "p_ad", "actual_completion_date"),
+    "days_delayed": f"'Overdue delay changed from ' || p_dd || 'd to ' || days_delayed || 'd (' || {_sign('(days_delayed - p_dd)')} || (days_delayed - p_dd) || 'd).'",
+    "milestone_status": "'Milestone status updated from ''' || p_ms || ''' to ''' || milestone_status || '''.'",
+    "overall_risk_score": f"'Overall risk score adjusted from ' || {_one('p_rs')} || ' to ' || {_one('overall_risk_score')} || ' (' || "
+                          f"{_sign('(overall_risk_score - p_rs)')} || {_one('overall_risk_score - p_rs')} || ').'",
+    "risk_level": "'Risk classification moved from ''' || p_rl || ''' to ''' || risk_level || '''.'"}
+TEXT_LIST = ", ".join(f"CASE WHEN list_contains(ch, '{f}') THEN {x} END" for f, x in CHANGE_TEXTS.items())
+
+
+@query("k3_change_summaries", sql(f"""SELECT snapshot_id, CASE WHEN first THEN 1 ELSE len(ch) END AS changes_count,
+  CASE WHEN first THEN 'Initial baseline project snapshot recorded upon first ingestion.' WHEN len(ch) = 0 THEN 'No meaningful project changes detected within numeric tolerance thresholds.'
+    ELSE array_to_string(list_filter([{TEXT_LIST}], lambda x: x IS NOT NULL), '; ') END AS change_summary,
+  CASE WHEN project_status <> p_status THEN {STATUS_TEXT} END AS status_text FROM changed""", "changed"))
 def _(t):
     d = K.change_log(t["snapshots"], SNAP)
     status = F.filter("changes", lambda x: x["field_name"] == "project_status")
