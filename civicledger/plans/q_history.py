@@ -34,7 +34,7 @@ def _(t):
 
 
 # one decimal, halves away from zero; a small negative number keeps its sign
-_one = lambda x: f"(CASE WHEN ({x}) < 0 AND round(({x})::DECIMAL(18, 6), 1) = 0 THEN '-' ELSE '' END || format('{{:.1f}}', round(({x})::DECIMAL(18, 6), 1)::DOUBLE))"
+_one = lambda x: f"(CASE WHEN ({x}) < 0 AND round(({x})::DECIMAL(38, 15), 1) = 0 THEN '-' ELSE '' END || format('{{:.1f}}', round(({x})::DECIMAL(38, 15), 1)::DOUBLE))"
 _money = lambda x: f"format('{{:,.2f}}', ({x})::DOUBLE)"
 _sign = lambda d: f"CASE WHEN {d} > 0 THEN '+' ELSE '' END"
 
