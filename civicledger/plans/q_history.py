@@ -33,8 +33,8 @@ def _(t):
     return d.select("snapshot_id", F.transform("changes", lambda x: x["field_name"]).alias("changed_fields"))
 
 
-# one decimal, halves away from zero; a small negative number keeps its sign
-_one = lambda x: f"(CASE WHEN ({x}) < 0 AND round(({x})::DECIMAL(38, 15), 1) = 0 THEN '-' ELSE '' END || format('{{:.1f}}', round(({x})::DECIMAL(38, 15), 1)::DOUBLE))"
+# one decimal of the shortest form of a double, halves away from zero; a small negative number keeps its sign
+_one = lambda x: f"(CASE WHEN ({x}) < 0 AND round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 15), 1) = 0 THEN '-' ELSE '' END || format('{{:.1f}}', round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 15), 1)::DOUBLE))"
 _money = lambda x: f"format('{{:,.2f}}', ({x})::DOUBLE)"
 _sign = lambda d: f"CASE WHEN {d} > 0 THEN '+' ELSE '' END"
 
