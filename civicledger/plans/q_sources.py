@@ -115,16 +115,40 @@ def _(t):
 
 @query("a10_provenance_manifest")
 def _(t):
-    return P.provenance_manifest(t.spark, t.sf_dir, "test data", "*.parquet").drop("recorded_at")
+    return P.provenance_manifest(t.spark, t.sf_dir, "test data", "*.parquet").drop("recorded_at", "path")
 
 
 @query("a11_immutability_audit")
 def _(t):
-    now = P.provenance_manifest(t.spark, t.sf_dir, "test data", "*.parquet")
+    now = P.provenance_manifest(t.spark, t.sf_dir, "test data", "*.parquet").drop("path")
     log = now.withColumn("sha256", F.when(F.col("file_name") == "orders.parquet", F.reverse("sha256")).otherwise(F.col("sha256")))
     return P.audit_hashes(now, log)
 
 
+def written_files(t):
+    """One text file for each order priority, a line per order, and their manifest."""
+    root = S.work_dir(t.spark, "feeds")
+    o = t["orders"].select(F.col("o_orderpriority").alias("feed"), F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"), "o_orderkey")
+    o.repartition("feed").sortWithinPartitions("feed", "o_orderkey").select("feed", "value").write.partitionBy("feed").text(root)
+    return P.provenance_manifest(t.spark, root, "orders", "*.txt").withColumn("feed", F.url_decode(F.regexp_extract("path", "feed=([^/]+)/", 1)))
+
+
+FEED = """SELECT o_orderpriority AS feed, sum(length(line)) + count(*) AS size_bytes, sha256(string_agg(line, chr(10) ORDER BY o_orderkey) || chr(10)) AS sha256
+  FROM (SELECT *, o_orderkey || ';' || o_custkey || ';' || o_orderstatus AS line FROM orders) GROUP BY 1"""
+
+
+@query("a10_written_files", sql(f"SELECT feed, size_bytes::BIGINT AS size_bytes, sha256, 'orders' AS source FROM ({FEED})"))
+def _(t):
+    return written_files(t).select("feed", "size_bytes", "sha256", "source")
+
+
+@query("a11_changed_files", sql(f"SELECT feed, sha256, CASE WHEN feed LIKE '%HIGH' THEN 'FAIL' ELSE 'PASS' END AS status FROM ({FEED})"))
+def _(t):
+    now = written_files(t).select(F.col("feed").alias("file_name"), "sha256")
+    log = now.withColumn("sha256", F.when(F.col("file_name").endswith("HIGH"), F.reverse("sha256")).otherwise(F.col("sha256")))
+    return P.audit_hashes(now, log).withColumnRenamed("file_name", "feed")
+
+
 @query("a12_shape_audit", sql("""SELECT 'customer' AS dataset, 1500 AS expected_rows, count(*) AS actual_rows, 5 AS expected_columns, 5 AS actual_columns, CASE WHEN count(*) = 1500 THEN 'PASS' ELSE 'FAIL' END AS status FROM customer
   UNION ALL SELECT 'supplier', 100, count(*), 3, 4, 'FAIL' FROM supplier"""))
 def _(t):

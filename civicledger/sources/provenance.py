@@ -1,19 +1,46 @@
 """File provenance: manifests of size and SHA-256, immutability and shape audits, feature contract."""
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from civicledger import fixed_values as fv
 
+CHUNK = 4 << 20
+
+
+def hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 and size of each file in ``path``, read in chunks of CHUNK bytes."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            scheme, rest = path.split(":", 1)
+            store, name = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+            digest, size = hashlib.sha256(), 0
+            with store.open_input_stream(name, compression=None) as f:
+                while chunk := f.read(CHUNK):
+                    digest.update(chunk)
+                    size += len(chunk)
+            yield pa.RecordBatch.from_pydict({"path": [path], "size_bytes": [size], "sha256": [digest.hexdigest()]})
+
 
 def provenance_manifest(spark: SparkSession, path: str, source: str, glob: str | None = None) -> DataFrame:
-    """One row per file: name, bytes, SHA-256, source and time. Files are hashed by the tasks."""
-    r = spark.read.format("binaryFile")
+    """One row per file: name, bytes, SHA-256, source and time.
+
+    The listing names the files without reading them; each task then streams its own files through the
+    digest, so a file of any size takes one chunk of memory."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"), F.lit(source).alias("source"), F.current_timestamp().alias("recorded_at"))
+    files = r.load(path).select("path")
+    n = files.count()
+    return (files.repartition(max(1, min(n, 10_000))).mapInArrow(hash_files, "path string, size_bytes bigint, sha256 string")
+            .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "size_bytes", "sha256", F.lit(source).alias("source"), F.current_timestamp().alias("recorded_at"), "path"))
 
 
 def audit_hashes(now: DataFrame, log: DataFrame) -> DataFrame:
