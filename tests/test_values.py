@@ -134,7 +134,7 @@ def test_vector_best_match_against_brute_force(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = np.round(u @ u.T, 9)
     np.fill_diagonal(s, -2)
-    got = {r.project_id: r for r in S.vector_best_match(df, "e", pivots=5, block=40).collect()}
+    got = {r.project_id: r for r in S.vector_best_match(df, "e", fan=5, leaf=40).collect()}
     assert len(got) == 300
     for i in range(300):
         assert abs(got[i].similarity - max(0.0, s[i].max())) < 1e-8
