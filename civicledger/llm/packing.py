@@ -14,18 +14,58 @@ from civicledger.llm.common import texts
 from civicledger.llm.textvec import slices
 
 END = 0                 # id after each document
+NOTHING = (float("inf"), -1, -1)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def plan(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, tries: int = 8
+class OpenSequences:
+    """Sequences with room left, by cost. One heap of (cost, sequence) per amount of room and a tree of
+    minima over the amounts: the cheapest sequence with enough room is the minimum of a suffix."""
+
+    def __init__(self, count: int, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width)]
+        self.tree = [NOTHING] * (2 * self.width)
+        self.heaps[capacity] = [(0.0, s) for s in range(count)]
+        self._refresh(capacity)
+
+    def _refresh(self, room: int) -> None:
+        tree, k = self.tree, room + self.width
+        tree[k] = (*self.heaps[room][0], room) if self.heaps[room] else NOTHING
+        while k > 1:
+            k >>= 1
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def put(self, cost: float, s: int, room: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, s))
+            self._refresh(room)
+
+    def take(self, size: int) -> tuple[float, int, int] | None:
+        """Remove the cheapest sequence with room for ``size`` tokens (ties: the lowest number)."""
+        tree, k = self.tree, size + self.width
+        best = tree[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, tree[k + 1])
+            k >>= 1
+        if best is NOTHING:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._refresh(best[2])
+        return best
+
+
+def plan(lengths: np.ndarray, capacity: int, linear: float, quadratic: float
          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(document, start, length, sequence, offset) of the pieces of a group of documents, and the number
     of sequences.
 
     Whole multiples of the capacity fill sequences of their own. The remainders go in descending order
-    to the sequence of the lowest cost so far, where a piece of t tokens costs linear*t + quadratic*t*t.
-    As many sequences are open as the tokens need, so less than one capacity is left empty in a group: a
-    piece looks for room among the ``tries`` cheapest sequences, and where it fits in none, it is cut.
+    to the sequence of the lowest cost so far that has room for them, where a piece of t tokens costs
+    linear*t + quadratic*t*t. As many sequences are open as the tokens need, so less than one capacity is
+    left empty in a group: a piece that fits in no sequence is cut to fill the cheapest one, and the rest
+    of it is placed in the same way.
     """
     full = lengths // capacity
     doc = np.repeat(np.arange(len(lengths)), full)
@@ -35,30 +75,16 @@ def plan(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, tr
     order = np.argsort(-rest, kind="stable")
     order = order[rest[order] > 0]
     count, base = -(-int(rest.sum()) // capacity), len(doc)
-    room = [capacity] * count
-    heap = [(0.0, s) for s in range(count)]
+    sequences = OpenSequences(count, capacity)
     rows = []
     for d, size in zip(order.tolist(), rest[order].tolist()):
         at = int(full[d]) * capacity
         while size:
-            passed, chosen = [], None
-            while heap and len(passed) < tries:
-                cost, s = heapq.heappop(heap)
-                if room[s] >= size:
-                    chosen = (cost, s)
-                    break
-                passed.append((cost, s))
-            if chosen is None:
-                chosen = passed.pop(0)
-            for p in passed:
-                heapq.heappush(heap, p)
-            cost, s = chosen
-            n = min(size, room[s])
-            rows.append((d, at, n, base + s, capacity - room[s]))
-            room[s] -= n
+            cost, s, room = sequences.take(size) or sequences.take(1)
+            n = min(size, room)
+            rows.append((d, at, n, base + s, capacity - room))
+            sequences.put(cost + linear * n + quadratic * n * n, s, room - n)
             at, size = at + n, size - n
-            if room[s]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
     if rows:
         pieces.append(tuple(np.array(c, np.int64) for c in zip(*rows)))
     return *(np.concatenate(c) for c in zip(*pieces)), base + count
