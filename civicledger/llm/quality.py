@@ -84,7 +84,7 @@ def features(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None)
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_docs: int = 5, min_z: float = 5.0,
         rounds: int = 300, l2: float = 1e-4) -> Model:
     """Train on at most ``max_labelled`` labelled documents, those with the smallest hash of their id;
-    equal texts count once.
+    equal texts count once, with the lowest of their grades.
 
     Grade: 0 for toxic documents, 1 for others of poor quality, 2 for good ones (a missing label counts as
     poor or not toxic). A bucket gets a weight if ``min_docs`` sample documents have it and one of the
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, min_docs
             ends = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part["grade"], pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket, pa.int32()))], ["grade", "buckets"])
 
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("grade").alias("grade"))
     sample = staged(rows.mapInArrow(buckets, "grade int, buckets array<int>"), "sample")
     share = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     everyone = max(1, sum(share.values()))
@@ -172,7 +172,8 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose probability of the best grade is at least ``least``, with all columns of ``docs``."""
     model = fit(docs, labels)
-    return score(docs, model, docs.columns).filter(F.col("__tail") >= least).select(*[f"`{c}`" for c in docs.columns])
+    own = ["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]      # no clash with the scores' names
+    return score(docs.toDF(*own), model, own).filter(F.col("__tail") >= least).select(*own).toDF(*docs.columns)
 
 
 def op5(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
