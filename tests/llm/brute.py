@@ -41,17 +41,17 @@ def as_id(i):
 
 
 def lines(rows):
-    held = defaultdict(list)
-    for n, (i, t) in enumerate(rows):
+    held = defaultdict(set)
+    for i, t in rows:
         for k in {x.strip(" \t\n\x0b\f\r").translate(UPPER) for x in (t or "").split("\n")}:
-            held[k].append((as_id(i), n))
+            held[k].add(as_id(i))
     out = []
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         own = (t or "").split("\n")
         kept = []
         for x in own:
             k = x.strip(" \t\n\x0b\f\r").translate(UPPER)
-            if len(k) < 40 or len(held[k]) < 5 or as_id(i) == max(held[k])[0]:
+            if len(k) < 40 or len(held[k]) < 5 or as_id(i) == max(held[k]):
                 kept.append(x)
         out.append((i, len(own), len(own) - len(kept), sha("\n".join(kept))))
     return out

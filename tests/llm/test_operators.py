@@ -46,6 +46,35 @@ def test_line_dedup(docs):
     assert rows(line_dedup.op1(docs)) == Counter(brute.lines(PLAIN))
 
 
+def test_line_dedup_counts_documents(spark):
+    """A line in five rows of three documents stays; in five documents it goes, also where ids repeat or lack."""
+    three, five = "x" * 40, "y" * 40
+    plain = [(1, three), (1, three), (1, three + "\n"), (2, three), (3, three)] + [(i, f"{five}\n{i}") for i in (1, 1, 2, 3, 4, 5, None, None)]
+    d = spark.createDataFrame(plain, "doc_id long, text string")
+    assert rows(line_dedup.op1(d)) == Counter(brute.lines(plain))
+    assert {r["n_dropped"] for r in line_dedup.op1(d.filter(f"text like '{three}%'")).collect()} == {0}
+
+
+def test_line_dedup_hot_and_other_lines(spark, monkeypatch):
+    """Some lines broadcast, others joined by key: the same result as without either kind."""
+    r = random.Random(8)
+    shared = [c * 45 for c in "abcdefgh"]
+    plain = [(i, "\n".join([shared[0], *r.sample(shared[1:], 2), str(i)])) for i in range(60)]
+    d = spark.createDataFrame(plain, "doc_id long, text string")
+    for share in (1, 4, 1000):
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        assert rows(line_dedup.op1(d)) == Counter(brute.lines(plain))
+
+
+def test_stages_keep_columns_named_like_inner_ones(spark):
+    names = ["__text", "__th", "__id", "__h", "__lines", "__kept", "__dropped", "__expected", "__tail", "row", "w", "c1"]
+    d = spark.createDataFrame([(i, "z" * 50, *range(len(names))) for i in range(6)], ["doc_id", "text", *names])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for got in (line_dedup.without_repeated_lines(d), quality.select_good(d, labels)):
+        assert got.columns == d.columns and got.count() == 6
+        assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(len(names)))}
+
+
 def test_lines_leave_other_columns_alone(docs):
     got = line_dedup.without_repeated_lines(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
@@ -207,6 +236,15 @@ def test_classifier_handles_awkward_rows(spark, docs):
     assert quality.select_good(docs, labels.filter("false")).count() == docs.count()
 
 
+def test_classifier_takes_the_lowest_grade_of_equal_texts(spark):
+    """Equal texts with different grades: the same model however the rows lie."""
+    plain = [(i, f"word{i % 7} thing{i % 3} end") for i in range(84)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 5 == 0)) for i in range(84)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(plain, "doc_id long, text string")
+    got = [sorted(map(tuple, quality.op5(d.repartition(n), labels).collect())) for n in (3, 7)]
+    assert got[0] == got[1]
+
+
 def test_encoding_is_the_librarys(docs, tokenizer):
     want = Counter()
     for i, t in PLAIN:
@@ -261,6 +299,30 @@ def test_plan_balances_cost_and_wastes_little():
     assert cost.std() / cost.mean() < 0.2
 
 
+@pytest.mark.parametrize("low, high", [(1, 40), (1, 64), (20, 64), (50, 60), (1, 200)])
+def test_plan_is_the_plain_greedy_rule(low, high):
+    """Every remainder lies in the cheapest sequence with room; it is cut only where none has room."""
+    r = np.random.default_rng(low + high)
+    lens = r.integers(low, high, 700)
+    doc, start, length, seq, offset, n = packing.plan(lens, 64, 1.0, 1 / 64)
+    got, base = defaultdict(int), int((lens // 64).sum())
+    for row in zip(doc.tolist(), start.tolist(), length.tolist(), seq.tolist(), offset.tolist()):
+        got[row] += 1
+    rest = lens % 64
+    cost, used = [0.0] * (n - base), [0] * (n - base)
+    for d in sorted(np.flatnonzero(rest).tolist(), key=lambda k: -rest[k]):
+        at, size = int(lens[d] - rest[d]), int(rest[d])
+        while size:
+            fits = [k for k in range(n - base) if 64 - used[k] >= size] or [k for k in range(n - base) if used[k] < 64]
+            k = min(fits, key=lambda k: (cost[k], k))
+            take = min(size, 64 - used[k])
+            assert got.pop((d, at, take, base + k, used[k])) == 1
+            cost[k] += take + take * take / 64
+            used[k] += take
+            at, size = at + take, size - take
+    assert all(row[2] == 64 and row[3] < base for row in got)
+
+
 def test_fingerprints(docs):
     order = sorted(PLAIN, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = rows(fingerprints.compare_with_next(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint"))
