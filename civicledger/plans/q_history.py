@@ -252,7 +252,7 @@ def _(t):
     """The feed is merged twice; the second pass must not change anything."""
     out, cp = L.fresh(t.spark, "l2")
     keyed = lambda b: b.groupBy(F.col("user_id").alias("project_id")).agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("events"))
-    table = L.VersionedTable(t.spark, out, keyed(t["events"]).limit(0))
+    table = L.BucketTable(t.spark, out, keyed(t["events"]).limit(0), ["project_id"], buckets=8)
     L.stream_upsert(event_stream(t), table, ["project_id"], cp, keyed)
     L.stream_upsert(event_stream(t), table, ["project_id"], cp + "-again", keyed)
     return table.read()
@@ -275,7 +275,7 @@ def _(t):
 def _(t):
     out, cp = L.fresh(t.spark, "l4p")
     seed = t["progress"].select(*PROGRESS_COLS).limit(0)
-    table = L.VersionedTable(t.spark, out, seed)
+    table = L.BucketTable(t.spark, out, seed, ["project_id", "reported_date"], buckets=8)
     L.stream_progress(reports({"events": event_stream(t)}), table, cp)
     return table.read()
 
@@ -285,6 +285,6 @@ def _(t):
     out, cp = L.fresh(t.spark, "l4t")
     own = t["projects"].select("project_id", "current_status", "sanction_date", "implementing_agency")
     seed = own.join(t["financials"].select("project_id", "sanctioned_amount", "released_amount", "expenditure_amount", "last_disbursement_date"), "project_id")
-    table = L.VersionedTable(t.spark, out, seed)
+    table = L.BucketTable(t.spark, out, seed, ["project_id"], buckets=8)
     L.stream_transactions(transactions({"events": event_stream(t)}), table, cp)
     return table.read().select(*TX_COLS)
