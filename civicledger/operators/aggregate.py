@@ -117,17 +117,26 @@ def write_risk(stored_scores: DataFrame, stored_factors: DataFrame, new_scores:
 
 # ---- whole portfolio ---------------------------------------------------------------------------------
 
-def engine_results(t, as_of: dt.date, engines: list[str] = fv.ENGINES, matches: DataFrame | None = None) -> DataFrame:
-    """Results of the chosen engines for all projects, one row per project and engine."""
-    build = {"cost_anomaly": lambda: E.cost_anomaly(t), "duplicate_detection": lambda: S.duplicate_detection(t["projects"], matches),
+def engine_results(t, as_of: dt.date, engines: list[str] = fv.ENGINES, matches: DataFrame | None = None,
+                   texts: DataFrame | None = None) -> DataFrame:
+    """Results of the chosen engines for all projects, one row per project and engine. ``texts`` are the
+    projects with their wording where that is a table of its own: duplicates are searched for in all of it,
+    and a project that it lacks has no result of that engine."""
+    def duplicates() -> DataFrame:
+        if texts is None:
+            return S.duplicate_detection(t["projects"], matches)
+        return S.duplicate_detection(texts, matches).join(t["projects"].select("project_id"), "project_id", "left_semi")
+
+    build = {"cost_anomaly": lambda: E.cost_anomaly(t), "duplicate_detection": duplicates,
              "delay_detection": lambda: E.delay_detection(t, as_of), "progress_mismatch": lambda: E.progress_mismatch(t),
              "agency_pattern": lambda: E.agency_pattern(t, as_of)}
     return reduce(DataFrame.unionByName, [build[e]() for e in engines])
 
 
-def risk_batch(t, as_of: dt.date, engines: list[str] = fv.ENGINES, only: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+def risk_batch(t, as_of: dt.date, engines: list[str] = fv.ENGINES, only: DataFrame | None = None, matches: DataFrame | None = None,
+               texts: DataFrame | None = None) -> DataFrame:
     """Overall risk of all projects, or of the ``only`` ids (peers and portfolios still use everyone)."""
-    res = engine_results(t, as_of, engines, matches)
+    res = engine_results(t, as_of, engines, matches, texts)
     if only is not None:
         res = res.join(only.select("project_id"), "project_id", "left_semi")
     return aggregate_risk(widen(res))
@@ -147,11 +156,12 @@ def most_recent(projects: DataFrame, limit: int) -> DataFrame:
     return projects.select("project_id", "recommendation_date").orderBy(F.col("recommendation_date").desc(), "project_id").limit(limit).select("project_id")
 
 
-def risk_or_compute(t, as_of: dt.date, stored: DataFrame, recalculate: bool = False, engines: list[str] = fv.ENGINES) -> DataFrame:
+def risk_or_compute(t, as_of: dt.date, stored: DataFrame, recalculate: bool = False, engines: list[str] = fv.ENGINES,
+                    texts: DataFrame | None = None) -> DataFrame:
     """Stored overall scores where they exist, computed ones for the rest (or for all)."""
     ids = t["projects"].select("project_id")
     todo = ids if recalculate else ids.join(stored.select("project_id"), "project_id", "left_anti")
-    new = risk_batch(t, as_of, engines, only=todo).select("project_id", F.col("overall_risk_score").cast("double").alias("overall_risk_score"), "risk_level", F.lit("computed").alias("origin"))
+    new = risk_batch(t, as_of, engines, only=todo, texts=texts).select("project_id", F.col("overall_risk_score").cast("double").alias("overall_risk_score"), "risk_level", F.lit("computed").alias("origin"))
     if recalculate:
         return new
     old = stored.select("project_id", F.col("overall_risk_score").cast("double").alias("overall_risk_score"), X.normalize_tier("risk_level").alias("risk_level"), F.lit("stored").alias("origin"))

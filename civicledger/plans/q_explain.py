@@ -11,7 +11,7 @@ from civicledger.functions import columns as X
 from civicledger.operators import aggregate as G, explain as J, legacy as L, similarity as S
 from civicledger.plans.bindings import AS_OF
 from civicledger.plans.oracle_tables import CTES, sql
-from civicledger.plans.q_similarity import doc_projects
+from civicledger.plans.q_similarity import doc_projects, dup_sql
 from civicledger.plans.registry import query
 
 REF = "DATE '2000-01-01'"
@@ -163,22 +163,30 @@ def _(t):
         "project_id", "engine_name", "score", "factor_impact")
 
 
-FOUR = [e for e in fv.ENGINES if e != "duplicate_detection"]
-CTES["four"] = (("cost_scored", "delay4", "mm3", "projects", "ag7"), """
-  SELECT c.project_id, c.score::DOUBLE AS a, d.score::DOUBLE AS b, m.score::DOUBLE AS m, coalesce(g.score, 0)::DOUBLE AS g FROM cost_scored c JOIN delay4 d USING (project_id) JOIN mm3 m USING (project_id) JOIN projects p USING (project_id)
-  LEFT JOIN ag7 g ON lower(trim(p.implementing_agency)) = g.agency_key""")
-CTES["four_s"] = (("four",), "SELECT project_id, round(a * 0.25 + m * 0.25 + b * 0.25 + g * 0.25, 2)::DOUBLE AS s FROM four")
+# Project texts are the documents; a project without a document has no duplicate score and its other engines weigh more.
+CTES["dups"] = (("dp", "m2t", "m2b"), dup_sql("m2b"))
+CTES["five"] = (("cost_scored", "delay4", "mm3", "projects", "ag7", "dups"), """
+  SELECT c.project_id, c.score::DOUBLE AS a, d.score::DOUBLE AS b, m.score::DOUBLE AS m, coalesce(g.score, 0)::DOUBLE AS g, u.score::DOUBLE AS u
+  FROM cost_scored c JOIN delay4 d USING (project_id) JOIN mm3 m USING (project_id) JOIN projects p USING (project_id)
+  LEFT JOIN ag7 g ON lower(trim(p.implementing_agency)) = g.agency_key LEFT JOIN dups u ON u.project_id = c.project_id""")
+CTES["five_s"] = (("five",), """
+  SELECT *, CASE WHEN s < 30 THEN 'LOW' WHEN s < 60 THEN 'MEDIUM' WHEN s < 80 THEN 'HIGH' ELSE 'CRITICAL' END AS tier
+  FROM (SELECT *, round(CASE WHEN u IS NULL THEN (a + b + m + g) * 0.25 ELSE (a + b + m + g + u) * 0.2 END, 2)::DOUBLE AS s FROM five)""")
 
 
-@query("i34_batch_summary", sql("""SELECT count(*) AS projects_processed, count(*) AS successful, 0 AS failed, count(*) FILTER (s < 30) AS low, count(*) FILTER (s >= 30 AND s < 60) AS medium, count(*) FILTER (s >= 60 AND s < 80) AS high, count(*) FILTER (s >= 80) AS critical,
-  round(avg(s), 2) AS average_score FROM four_s""", "four_s"))
+@query("i34_batch_summary", sql("""SELECT count(*) AS projects_processed, count(*) AS successful, 0 AS failed, count(*) FILTER (s < 30) AS low,
+  count(*) FILTER (s >= 30 AND s < 60) AS medium, count(*) FILTER (s >= 60 AND s < 80) AS high, count(*) FILTER (s >= 80) AS critical,
+  round(avg(s), 2) AS average_score FROM five_s""", "five_s"))
 def _(t):
-    return G.batch_summary(G.risk_batch(t, AS_OF, FOUR))
+    return G.batch_summary(G.risk_batch(t, AS_OF, texts=doc_projects(t)))
 
 
-@query("i34_risk_batch_all_engines")
+@query("i34_risk_batch_all_engines", sql("""SELECT project_id, a AS cost_anomaly, u AS duplicate_detection, b AS delay_detection, m AS progress_mismatch, g AS agency_pattern,
+  s AS overall_risk_score, tier AS risk_level, CASE WHEN u IS NULL THEN 0.8 ELSE 1.0 END::DOUBLE AS available FROM five_s""", "five_s"))
 def _(t):
-    return G.risk_batch(t, AS_OF).select("project_id", *fv.ENGINES, "overall_risk_score", "risk_level", "confidence")
+    available = F.round(1 - F.size("unavailable_engines") / len(fv.ENGINES), 1)
+    return G.risk_batch(t, AS_OF, texts=doc_projects(t)).select("project_id", *[F.col(e).cast("double").alias(e) for e in fv.ENGINES], "overall_risk_score", "risk_level",
+                                                                available.alias("available"))
 
 
 @query("i34_most_recent", sql("SELECT project_id FROM projects ORDER BY recommendation_date DESC, project_id LIMIT 50", "projects"))
@@ -187,9 +195,9 @@ def _(t):
 
 
 @query("i35_read_or_compute", sql("""SELECT project_id, overall_risk_score::DOUBLE AS overall_risk_score, CASE risk_level WHEN 'Moderate' THEN 'MEDIUM' ELSE upper(risk_level) END AS risk_level, 'stored' AS origin FROM risk_scores
-  UNION ALL SELECT project_id, s, CASE WHEN s < 30 THEN 'LOW' WHEN s < 60 THEN 'MEDIUM' WHEN s < 80 THEN 'HIGH' ELSE 'CRITICAL' END, 'computed' FROM four_s WHERE project_id NOT IN (SELECT project_id FROM risk_scores)""", "risk_scores", "four_s"))
+  UNION ALL SELECT project_id, s, tier, 'computed' FROM five_s WHERE project_id NOT IN (SELECT project_id FROM risk_scores)""", "risk_scores", "five_s"))
 def _(t):
-    return G.risk_or_compute(t, AS_OF, t["risk_scores"], engines=FOUR)
+    return G.risk_or_compute(t, AS_OF, t["risk_scores"], texts=doc_projects(t))
 
 
 @query("i36_confidence_tiers", sql("""SELECT project_id, CASE WHEN c >= 0.85 THEN 'HIGH' WHEN c >= 0.60 THEN 'MEDIUM' WHEN c >= 0.30 THEN 'LOW' ELSE 'VERY_LOW' END AS level, CASE WHEN b = 0 THEN 0.5 ELSE round(least(1.0, a / b), 3) END::DOUBLE AS ratio
