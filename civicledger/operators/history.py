@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from civicledger import fixed_values as fv
 from civicledger.functions import columns as X
+from civicledger.operators.chains import follow, kept_rows  # noqa: F401
 from civicledger.operators.ranks import chunked_previous
 from civicledger.operators.views import latest_per_key
 from civicledger.sources.sinks import upsert
@@ -127,67 +127,11 @@ def append_snapshots(latest: DataFrame, proposed: DataFrame, fields: set[str], f
     return d.filter(F.lit(force) | F.col("is_initial") | (F.col("changes_count") > 0)).select("project_id", "cur.*", "is_initial", "changes_count", "change_summary")
 
 
-def kept_rows(values: np.ndarray, last: np.ndarray | None, tol: np.ndarray) -> tuple[list[int], np.ndarray | None]:
-    """Numbers of the rows that are kept, in order, and the last kept values. The next row outside the
-    tolerance is found by searching ever longer blocks, so rows that change nothing are passed over at once."""
-    kept, at = [], 0
-    while at < len(values):
-        if last is not None:
-            size = 16
-            while at < len(values):
-                outside = (np.abs(values[at:at + size] - last) >= tol).any(1)
-                if outside.any():
-                    at += int(outside.argmax())
-                    break
-                at, size = at + size, size * 2
-            else:
-                break
-        kept.append(at)
-        last, at = values[at], at + 1
-    return kept, last
-
-
-def snapshot_chain(updates: DataFrame, fields: dict[str, float], key: str = "project_id", order: tuple[str, str] = ("event_ts", "update_id"),
-                   chunk: Column | None = None) -> DataFrame:
+def snapshot_chain(updates: DataFrame, fields: dict[str, float], key: str = "project_id", order: tuple[str, str] = ("event_ts", "update_id")) -> DataFrame:
     """Accepted versions of a full-state update feed: an update is kept when some field is at least its
     tolerance away from the last *kept* version, so slow drift adds up and a plain lag would be wrong.
-
-    A kept version always lies within the tolerance of the update before the next one. So an update that
-    moves by twice the tolerance from its predecessor is kept whatever came before, and what follows
-    depends only on it: such updates cut a project's history into pieces that are folded in parallel.
-    Inside a piece rows arrive sorted and one version is remembered, so memory does not grow with the
-    history. ``chunk`` is any value that does not fall over time (default: the hour); it splits the look
-    back to the predecessor.
-    """
-    names = list(fields)
-    chunk = F.date_trunc("hour", F.col(order[0])) if chunk is None else chunk
-    d = chunked_previous(updates.select(key, *order, *names), key, list(order), chunk, names)
-    sure = F.col("previous").isNull() | X.any_of([F.abs(F.col(f) - F.col(f"previous.{f}")) >= 2 * tol for f, tol in fields.items()])
-    d = d.withColumn("sure", F.coalesce(sure, F.lit(False))).drop("previous")
-    # number the pieces: sure rows so far, counted per chunk and then over the few chunk totals
-    d = d.withColumn("__ch", chunk)
-    per = d.groupBy(key, "__ch").agg(F.count_if("sure").alias("__c"))
-    per = per.withColumn("__before", F.sum("__c").over(Window.partitionBy(key).orderBy("__ch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).drop("__c")
-    run = Window.partitionBy(key, "__ch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__in", F.sum(F.col("sure").cast("bigint")).over(run)).join(per, [key, "__ch"]).withColumn("piece", F.col("__before") + F.col("__in"))
-    d = d.select(key, *order, *names, "piece")
-    tol = np.array([fields[f] for f in names])
-    types = dict(d.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [key, *order, *names])
-
-    def fold(batches):
-        last_key, state = None, None
-        for pdf in batches:
-            keys, pieces, vals = pdf[key].to_numpy(), pdf["piece"].to_numpy(), pdf[names].to_numpy(float)
-            edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1])))
-            keep = np.zeros(len(pdf), bool)
-            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(pdf)]):
-                k = (keys[lo], pieces[lo])
-                rows, state = kept_rows(vals[lo:hi], state if k == last_key else None, tol)
-                keep[[lo + r for r in rows]], last_key = True, k
-            yield pdf.loc[keep, [key, *order, *names]]
-
-    return d.repartition(F.col(key), F.col("piece")).sortWithinPartitions(key, "piece", *order).mapInPandas(fold, schema)
+    Histories are followed in blocks (``chains``), so a long one is spread over tasks however slowly it moves."""
+    return follow(updates, key, list(order), fields)
 
 
 def change_log(snapshots: DataFrame, fields: set[str], tol: Tolerances = Tolerances(), chunk: Column | None = None) -> DataFrame:
