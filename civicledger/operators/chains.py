@@ -145,9 +145,9 @@ def _edges(df: DataFrame, tol: np.ndarray) -> DataFrame:
         for pdf in batches:
             out = [np.empty((0, 3), np.int64)]
             for r in pdf.itertuples(index=False):
-                ids, vals, low = np.frombuffer(r.ids, np.int32), *(np.frombuffer(x, float).reshape(-1, len(tol)) for x in (r.vals, r.low))
+                ids, vals, low = np.frombuffer(r.ids, np.int32).astype(np.int64), *(np.frombuffer(x, float).reshape(-1, len(tol)) for x in (r.vals, r.low))
                 at = first_outside(vals, low, low, tol, -1)
-                out.append(np.stack([r.source * WIDTH + ids, r.target * WIDTH + at, r.target * WIDTH + np.frombuffer(r.leave, np.int32)[at]], 1).astype(np.int64))
+                out.append(np.stack([r.source * WIDTH + ids, r.target * WIDTH + at, r.target * WIDTH + np.frombuffer(r.leave, np.int32).astype(np.int64)[at]], 1))
             yield pd.DataFrame(np.concatenate(out), columns=["node", "entry", "next"])
 
     return df.select("source", "ids", "vals", "target", "low", "leave").mapInPandas(meet, "node bigint, entry bigint, next bigint")
