@@ -33,9 +33,17 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     return latest_per_key(df, "project_id", [F.col("snapshot_datetime").desc(), F.col("snapshot_id").desc()])
 
 
-def _change(name: str, prev: Column, new: Column, delta: Column, text: Column) -> Column:
-    return F.struct(F.lit(name).alias("field_name"), prev.cast("string").alias("previous_value"), new.cast("string").alias("new_value"),
-                    delta.cast("double").alias("delta"), text.alias("summary"))
+NAMES = {**MONEY, **PERCENT, **DATES, "project_status": "Project Status", "days_delayed": "Days Delayed", "milestone_status": "Milestone Status",
+         "overall_risk_score": "Overall Risk Score", "risk_level": "Risk Tier"}
+CATEGORIES = {**dict.fromkeys(MONEY, "financial"), "cost_deviation": "derived", **dict.fromkeys(PERCENT, "progress"), "utilization_rate_pct": "financial", "progress_gap": "derived",
+              **dict.fromkeys([*DATES, "days_delayed", "milestone_status"], "timeline"), "project_status": "status", "overall_risk_score": "risk", "risk_level": "risk"}
+
+
+def _change(name: str, prev: Column, new: Column, delta: Column, text: Column, delta_pct: Column | None = None) -> Column:
+    pct = F.lit(None) if delta_pct is None else delta_pct
+    return F.struct(F.lit(name).alias("field_name"), F.lit(NAMES[name]).alias("display_name"), F.lit(CATEGORIES[name]).alias("category"),
+                    prev.cast("string").alias("previous_value"), new.cast("string").alias("new_value"),
+                    delta.cast("double").alias("delta"), pct.cast("double").alias("delta_pct"), text.alias("summary"))
 
 
 def field_changes(prev: str, cur: str, fields: set[str], tol: Tolerances = Tolerances()) -> Column:
@@ -60,13 +68,13 @@ def field_changes(prev: str, cur: str, fields: set[str], tol: Tolerances = Toler
             pct = F.when(a != 0, d / a * 100)
             pct_text = F.when(pct.isNotNull(), F.concat(F.lit(" ("), sign(d), fmt("%.1f%%", pct), F.lit(")"))).otherwise("")
             out.append(F.when(b.isNotNull() & a.isNull(), _change(f, p(f), c(f), b, fmt(name + " initialized to ₹%,.2f.", b))).when(
-                F.abs(d) >= tol.monetary, _change(f, p(f), c(f), d, F.concat(fmt(name + " shifted from ₹%,.2f to ₹%,.2f (", a, b), sign(d), fmt("₹%,.2f", d), pct_text, F.lit(").")))))
+                F.abs(d) >= tol.monetary, _change(f, p(f), c(f), d, F.concat(fmt(name + " shifted from ₹%,.2f to ₹%,.2f (", a, b), sign(d), fmt("₹%,.2f", d), pct_text, F.lit(").")), F.round(pct, 2))))
     for f, name in PERCENT.items():
         if f in fields:
             a, b = p(f).cast("double"), c(f).cast("double")
             d = F.round(b - a, 4)
             out.append(F.when(b.isNotNull() & a.isNull(), _change(f, p(f), c(f), b, fmt(name + " initialized to %.1f%%.", b))).when(
-                F.abs(d) >= tol.percentage, _change(f, p(f), c(f), d, F.concat(fmt(name + " changed from %.1f%% to %.1f%% (", a, b), sign(d), fmt("%.1f%%", d), F.lit(").")))))
+                F.abs(d) >= tol.percentage, _change(f, p(f), c(f), d, F.concat(fmt(name + " changed from %.1f%% to %.1f%% (", a, b), sign(d), fmt("%.1f%%", d), F.lit(").")), d)))
     for f, name in DATES.items():
         if f in fields:
             a, b = p(f), c(f)
@@ -135,11 +143,15 @@ def snapshot_chain(updates: DataFrame, fields: dict[str, float], key: str = "pro
 
 
 def change_log(snapshots: DataFrame, fields: set[str], tol: Tolerances = Tolerances(), chunk: Column | None = None) -> DataFrame:
-    """Changes between consecutive stored snapshots, the first one as baseline."""
+    """Changes between consecutive stored snapshots, the first one as baseline, with the snapshot compared
+    against and the names of the changed fields."""
     chunk = F.date_trunc("hour", "snapshot_datetime") if chunk is None else chunk
     cols = sorted(fields)
-    d = chunked_previous(snapshots, "project_id", ["snapshot_datetime", "snapshot_id"], chunk, cols).withColumn("cur", F.struct(*cols))
-    return with_changes(d, "previous", "cur", fields, tol).select("project_id", "snapshot_id", "snapshot_datetime", "is_initial", "changes_count", "change_summary", "changes")
+    d = chunked_previous(snapshots, "project_id", ["snapshot_datetime", "snapshot_id"], chunk, [*cols, "snapshot_id"]).withColumn("cur", F.struct(*cols))
+    names = F.when(F.col("is_initial"), F.array(F.lit("initial_baseline"))).otherwise(F.transform("changes", lambda x: x["field_name"]))
+    return with_changes(d, "previous", "cur", fields, tol).select(
+        "project_id", "snapshot_id", "snapshot_datetime", "is_initial", "changes_count", "change_summary", "changes",
+        F.col("previous.snapshot_id").alias("previous_snapshot_id"), names.alias("modified_fields"))
 
 
 def history_series(df: DataFrame, order_col: str = "snapshot_datetime", newest_first: bool = False, k: int | None = None) -> DataFrame:

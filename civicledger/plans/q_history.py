@@ -82,6 +82,37 @@ def _(t):
     return d.select("snapshot_id", "changes_count", "change_summary", F.when(F.size(status) > 0, F.element_at(status, 1)["summary"]).alias("status_text"))
 
 
+_digits = lambda x, n: f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 15), {n})::DOUBLE"
+_before = {"project_status": "p_status", "released_amount": "p_rel", "expenditure_amount": "p_exp", "physical_progress_pct": "p_phy", "financial_progress_pct": "p_fin",
+           "expected_completion_date": "p_ed", "actual_completion_date": "p_ad", "days_delayed": "p_dd", "milestone_status": "p_ms", "overall_risk_score": "p_rs", "risk_level": "p_rl"}
+
+
+def _delta(f: str) -> str:
+    a = _before[f]
+    if f in K.MONEY or f in K.PERCENT:
+        return f"CASE WHEN {a} IS NULL THEN {f}::DOUBLE ELSE {_digits(f'{f}::DOUBLE - {a}::DOUBLE', 4)} END"
+    if f == "overall_risk_score":
+        return _digits(f"{f} - coalesce({a}, 0)", 4)
+    return f"({f} - {a})::DOUBLE" if f in K.DATES or f == "days_delayed" else "NULL::DOUBLE"
+
+
+def _delta_pct(f: str) -> str:
+    a = _before[f]
+    if f in K.MONEY:
+        return f"CASE WHEN {a} <> 0 THEN {_digits(f'{_delta(f)} / {a}::DOUBLE * 100', 2)} END"
+    return f"CASE WHEN {a} IS NOT NULL THEN {_delta(f)} END" if f in K.PERCENT else "NULL::DOUBLE"
+
+
+_per_field = lambda value: "CASE f " + " ".join(f"WHEN '{f}' THEN {value(f)}" for f in CHANGE_TEXTS) + " END"
+
+
+@query("k2_change_records", sql(f"""SELECT snapshot_id, f AS field_name, {_per_field(lambda f: f"'{K.NAMES[f]}'")} AS display_name, {_per_field(lambda f: f"'{K.CATEGORIES[f]}'")} AS category,
+  {_per_field(_delta)} AS delta, {_per_field(_delta_pct)} AS delta_pct, {_per_field(lambda f: CHANGE_TEXTS[f])} AS summary FROM (SELECT *, unnest(ch) AS f FROM changed WHERE NOT first)""", "changed"))
+def _(t):
+    d = K.change_log(t["snapshots"], SNAP).select("snapshot_id", F.explode("changes").alias("c"))
+    return d.select("snapshot_id", *[f"c.{c}" for c in ("field_name", "display_name", "category", "delta", "delta_pct", "summary")])
+
+
 def payload(t):
     """Every third project gets new money figures."""
     k = F.col("project_id")
@@ -126,6 +157,13 @@ def _(t):
     return K.change_log(t["snapshots"], SNAP).groupBy("project_id").agg(F.count(F.lit(1)).alias("versions"), F.count_if("is_initial").alias("baselines"), F.sum("changes_count").alias("changes"))
 
 
+@query("k7_change_records", sql("""SELECT project_id, snapshot_id, lag(snapshot_id) OVER (PARTITION BY project_id ORDER BY snapshot_datetime, snapshot_id) AS previous_snapshot_id,
+  CASE WHEN first THEN 'initial_baseline' ELSE array_to_string(ch, '|') END AS modified_fields, CASE WHEN first THEN 1 ELSE len(ch) END AS changes_count FROM changed""", "changed"))
+def _(t):
+    d = K.change_log(t["snapshots"], SNAP)
+    return d.select("project_id", "snapshot_id", "previous_snapshot_id", F.array_join("modified_fields", "|").alias("modified_fields"), "changes_count")
+
+
 @query("k8_history_series", sql("SELECT project_id, snapshot_id, version_no FROM (SELECT project_id, snapshot_id, row_number() OVER (PARTITION BY project_id ORDER BY snapshot_datetime DESC, snapshot_id DESC) AS version_no FROM snapshots) WHERE version_no <= 5", "snapshots"))
 def _(t):
     return K.history_series(t["snapshots"], newest_first=True, k=5).select("project_id", "snapshot_id", "version_no")
