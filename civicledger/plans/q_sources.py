@@ -1,4 +1,5 @@
 """Scan, sink, provenance and cleaning queries."""
+import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from civicledger.functions import columns as X
@@ -28,6 +29,26 @@ def _(t):
     return R.read_json_records(t.spark, path, "id bigint, status string, amount double", multi_line=False)
 
 
+def array_files(d):
+    """Lines that make each partition's file one JSON array."""
+    def lines(batches):
+        lead = "["
+        for pdf in batches:
+            yield pd.DataFrame({"value": [("," if k else lead) + v for k, v in enumerate(pdf["value"])]})
+            lead = "," if len(pdf) else lead
+        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+    return d.select("value").mapInPandas(lines, "value string")
+
+
+@query("a2_large_array", sql("""SELECT doc_id AS id, md5(text || chr(92)) AS digest, '}],"' AS tag, n_chars AS chars FROM documents"""))
+def _(t):
+    path = S.work_dir(t.spark, "json-array")
+    rec = F.struct(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.struct(F.lit('}],"').alias("tag"), F.col("n_chars").alias("chars")).alias("meta"))
+    array_files(t["documents"].select(F.to_json(rec).alias("value"))).write.text(path)
+    d = R.read_json_array(t.spark, path, "id bigint, body string, meta struct<tag: string, chars: bigint>")
+    return d.select("id", F.md5(F.concat("body", F.lit("\\"))).alias("digest"), "meta.tag", "meta.chars")
+
+
 @query("a3_nested_map_rows", sql("SELECT state_id, upper(state_name[1]) || lower(state_name[2:]) AS state_name, constituency_id, raw_caption FROM constituencies", "constituencies"))
 def _(t):
     seats = t["constituencies"].groupBy("state_name", "state_id").agg(
