@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from civicledger.operators.ranks import group_quantiles
+from civicledger.sources.sinks import staged
 
 DATE_TEXT = r"^(\d{4}-\d{2}-\d{2}|\d{2}-[A-Za-z]{3}-\d{4}|[A-Za-z]{3}\s+\d{1,2},\s+\d{4}.*)$"
 MOJIBAKE = ["â\x82¹", "�", "â€", "\xc3\xa2"]
@@ -18,19 +19,27 @@ def long_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return long.withColumn("value", F.when((v != "") & (F.lower(v) != "null"), v))
 
 
+def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column, value, n, padded): the only aggregate of a profile that meets all rows; everything else
+    follows from the distinct values and their counts. The NULL value counts missing entries."""
+    return long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw").rlike(r"^ | $")).alias("padded"))
+
+
 def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return _typed(long_values(df, cols)).select("column", "inferred_type")
+    return _typed(value_counts(df, cols).groupBy("column").agg(*_kinds())).select("column", "inferred_type")
 
 
-def _typed(long: DataFrame) -> DataFrame:
+def _kinds() -> list:
+    """How many values there are and how many fit none of the kinds, over distinct values."""
     v = F.col("value")
-    g = long.groupBy("column").agg(
-        F.count("value").alias("non_null"), F.count_if(~v.rlike(r"^-?\d+$")).alias("__not_int"),
-        F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias("__not_float"),
-        F.count_if(~v.rlike(DATE_TEXT)).alias("__not_date"))
+    return [F.sum(F.when(v.isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count_if(~v.rlike(r"^-?\d+$")).alias("__not_int"),
+            F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias("__not_float"), F.count_if(~v.rlike(DATE_TEXT)).alias("__not_date")]
+
+
+def _typed(g: DataFrame) -> DataFrame:
     kind = (F.when(F.col("non_null") == 0, "EMPTY").when(F.col("__not_int") == 0, "INTEGER")
             .when(F.col("__not_float") == 0, "FLOAT").when(F.col("__not_date") == 0, "DATE").otherwise("STRING"))
-    return g.withColumn("inferred_type", kind).drop("__not_int", "__not_float", "__not_date", "non_null")
+    return g.withColumn("inferred_type", kind).drop("__not_int", "__not_float", "__not_date")
 
 
 def top_values(long: DataFrame, k: int = 4) -> DataFrame:
@@ -51,20 +60,23 @@ def string_extremes(long: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One row per column. Distinct counts come from a (column, value) aggregate and quartiles from
-    rank arithmetic, so no column is gathered in one place."""
-    long = long_values(df, cols)
-    x = F.col("value").try_cast("double")
-    padded = F.col("raw").rlike(r"^ | $")
-    broken = F.col("value").rlike("|".join(MOJIBAKE))
-    base = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("total"), F.count("value").alias("non_null"), F.min(x).alias("min_value"), F.max(x).alias("max_value"),
-        F.round(F.avg(x), 2).alias("mean_value"), F.round(F.stddev_pop(x), 2).alias("std_value"),
-        F.count_if(padded).alias("padded"), F.count_if(broken).alias("mojibake"))
-    uniq = long.filter("value is not null").groupBy("column", "value").count().groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    quart = group_quantiles(long.select("column", x.alias("x")), ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
-    out = (base.join(_typed(long), "column").join(uniq, "column", "left").join(string_extremes(long), "column")
-           .join(quart, "column", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0))))
+    """One row per column. The rows are aggregated once, to distinct values with counts; types, extremes and
+    moments follow from these, quartiles from their ranks, so no column is gathered in one place."""
+    counts = staged(value_counts(df, cols), "profile")
+    x, n = F.col("value").try_cast("double"), F.col("n")
+    weighed = F.when(x.isNotNull(), n)
+    text = F.when(F.col("value").isNotNull(), F.struct(F.length("value"), F.col("value")))
+    base = _typed(counts.groupBy("column").agg(
+        *_kinds(), F.sum(n).alias("total"), F.count("value").alias("unique_values"), F.min(x).alias("min_value"), F.max(x).alias("max_value"),
+        (F.sum(x * n) / F.sum(weighed)).alias("__mean"), F.sum(weighed).alias("__numbers"), F.sum("padded").alias("padded"),
+        F.sum(F.when(F.col("value").rlike("|".join(MOJIBAKE)), n).otherwise(0)).alias("mojibake"),
+        F.min_by("value", text).alias("min_text"), F.max_by("value", text).alias("max_text")))
+    # deviations are taken from the mean itself, as squares of large numbers would cancel
+    mean = counts.groupBy("column").agg((F.sum(x * n) / F.sum(weighed)).alias("__mean"))
+    spread = counts.join(F.broadcast(mean), "column").groupBy("column").agg(F.sum(n * F.pow(x - F.col("__mean"), 2)).alias("__square"))
+    quart = group_quantiles(counts.select("column", x.alias("x"), "n"), ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="n").drop("n")
+    out = base.join(spread, "column").join(quart, "column", "left").withColumns({
+        "mean_value": F.round("__mean", 2), "std_value": F.round(F.sqrt(F.col("__square") / F.col("__numbers")), 2)}).drop("__mean", "__square", "__numbers")
     num = F.col("inferred_type").isin("INTEGER", "FLOAT")
     pct = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b) * 100, 2)).otherwise(0.0)
     out = out.withColumns({

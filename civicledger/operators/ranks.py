@@ -57,9 +57,9 @@ def interpolate(lo: Column, hi: Column, frac: Column) -> Column:
     return F.when(frac == 0, lo).otherwise(lo * (1 - frac) + hi * frac)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per entry of ``qs``."""
-    ranked = value_ranks(df, keys, value)
+def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, one column per entry of ``qs``; a row stands for ``weight`` equal ones."""
+    ranked = value_ranks(df, keys, value, weight)
     pos = {name: quantile_positions(q) for name, q in qs.items()}
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(lo, lo + 1) for lo, _ in pos.values()])))
     stats = order_stats(ranked, keys, value, wanted)
