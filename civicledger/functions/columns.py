@@ -220,6 +220,19 @@ def group_indian(c) -> Column:
     return F.when(F.length(s) <= 3, s).otherwise(F.concat(grouped, F.lit(","), tail))
 
 
+def half_up(c, decimals: int) -> Column:
+    """Half away from zero on 15 decimals of a double: a quotient that misses a half only in its 16th
+    decimal (0.44999999999999996) is taken as the half. Numbers too large for that are rounded as they are."""
+    c = lit_if(c).cast("double")
+    return F.coalesce(F.round(c.try_cast("decimal(38,15)"), decimals).cast("double"), F.round(c, decimals))
+
+
+def half_even(c, decimals: int) -> Column:
+    """Half to even on the scaled double: 1.015 lies below its half and becomes 1.01, 0.545 lies above and becomes 0.55."""
+    scale = 10.0 ** decimals
+    return F.rint(lit_if(c).cast("double") * scale) / scale + 0.0
+
+
 def fmt_inr(c, compact: bool = False, in_crores: bool = False) -> Column:
     c = lit_if(c).cast("double")
     a, sign = F.abs(c), F.when(c < 0, "-").otherwise("")
@@ -242,7 +255,7 @@ def fmt_pct(c, decimals: int = 0, is_ratio: bool | None = None) -> Column:
     else:
         pct = c * 100 if is_ratio else c
     return F.when(c.isNull(), "N/A").otherwise(
-        F.concat(F.format_string(f"%.{decimals}f", F.bround(pct, decimals)), F.lit("%")))
+        F.concat(F.format_string(f"%.{decimals}f", half_even(pct, decimals)), F.lit("%")))
 
 
 def fmt_points(c) -> Column:
@@ -252,7 +265,7 @@ def fmt_points(c) -> Column:
 
 def fmt_mult(c, decimals: int = 2) -> Column:
     c = lit_if(c)
-    return F.when(c.isNull(), "N/A").otherwise(F.concat(trim_zeros(F.bround(c, decimals), decimals), F.lit("×")))
+    return F.when(c.isNull(), "N/A").otherwise(F.concat(trim_zeros(half_even(c, decimals), decimals), F.lit("×")))
 
 
 def fmt_days(c) -> Column:
@@ -265,7 +278,7 @@ def fmt_ratio(num, den, style: str = "multiplier") -> Column:
     r = F.try_divide(lit_if(num).cast("double"), lit_if(den).cast("double"))
     if style == "multiplier":
         return fmt_mult(r)
-    return F.when(r.isNull(), "N/A").otherwise(F.concat(trim_zeros(F.bround(r, 2)), F.lit(":1")))
+    return F.when(r.isNull(), "N/A").otherwise(F.concat(trim_zeros(half_even(r, 2)), F.lit(":1")))
 
 
 def oxford_join(arr) -> Column:
