@@ -66,9 +66,9 @@ def field_changes(prev: str, cur: str, fields: set[str], tol: Tolerances = Toler
             a, b = p(f).cast("double"), c(f).cast("double")
             d = F.round(b - a, 4)
             pct = F.when(a != 0, d / a * 100)
-            pct_text = F.when(pct.isNotNull(), F.concat(F.lit(" ("), sign(d), fmt("%.1f%%", pct), F.lit(")"))).otherwise("")
+            pct_text = F.when(pct.isNotNull(), F.concat(F.lit(" ("), sign(d), F.when(pct < 0, "-").otherwise(""), fmt("%.1f%%", X.half_up(F.abs(pct), 1)), F.lit(")"))).otherwise("")
             out.append(F.when(b.isNotNull() & a.isNull(), _change(f, p(f), c(f), b, fmt(name + " initialized to ₹%,.2f.", b))).when(
-                F.abs(d) >= tol.monetary, _change(f, p(f), c(f), d, F.concat(fmt(name + " shifted from ₹%,.2f to ₹%,.2f (", a, b), sign(d), fmt("₹%,.2f", d), pct_text, F.lit(").")), F.round(pct, 2))))
+                F.abs(d) >= tol.monetary, _change(f, p(f), c(f), d, F.concat(fmt(name + " shifted from ₹%,.2f to ₹%,.2f (", a, b), sign(d), fmt("₹%,.2f", d), pct_text, F.lit(").")), X.half_up(pct, 2))))
     for f, name in PERCENT.items():
         if f in fields:
             a, b = p(f).cast("double"), c(f).cast("double")
