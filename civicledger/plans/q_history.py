@@ -262,27 +262,30 @@ def event_stream(t):
     return L.file_stream(t.spark, t.sf_dir, t["events"].schema, "events.parquet")
 
 
-def _readings(t, late: bool = False):
-    """The feed as a stream of files, one for each micro-batch: the older half, then the newer half and, with
-    ``late``, every tenth row of the older half only after that."""
+def _stream_versions(t, name: str, late: bool = False, watermark: str | None = None):
+    """Versions of the feed as it arrives: the older half, then the newer half and, with ``late``, every tenth
+    row of the older half only after that. Each arrival may be many files; the stream takes it in before the
+    next one is there, so one micro-batch holds one arrival."""
     from civicledger.plans.bindings import Tables
     events = t["events"]
     mid = events.agg(F.expr("min(unix_micros(cast(ts as timestamp)))").alias("a"), F.expr("max(unix_micros(cast(ts as timestamp)))").alias("b")).first()
     old = F.expr("unix_micros(cast(ts as timestamp))") <= F.lit((mid["a"] + mid["b"]) // 2)
     behind = old & (F.col("event_id") % 10 == 0) & F.lit(late)
     root, _ = L.fresh(t.spark, "feed")
+    out, cp = L.fresh(t.spark, name)
+    s = Tables(t.spark, t.sf_dir)
     for part in [old & ~behind, ~old, *([behind] if late else [])]:
         events.filter(part).write.mode("append").parquet(root)
-    s = Tables(t.spark, t.sf_dir)
-    s["events"] = L.file_stream(t.spark, root, events.schema, files_per_batch=1)
-    return s["readings"]
+        s["events"] = L.file_stream(t.spark, root, events.schema)
+        s.pop("readings", None)
+        r = s["readings"].withColumn("event_ts", F.col("event_ts").cast("timestamp")) if watermark else s["readings"]
+        L.run_available(L.stream_snapshots(r, FOLD, watermark=watermark), out, cp)
+    return t.spark.read.parquet(out).select(*FOLD_COLS)
 
 
 @query("l1_stream_snapshots", FOLD_SQL)
 def _(t):
-    out, cp = L.fresh(t.spark, "l1")
-    L.run_available(L.stream_snapshots(_readings(t), FOLD), out, cp)
-    return t.spark.read.parquet(out).select(*FOLD_COLS)
+    return _stream_versions(t, "l1")
 
 
 @query("l2_stream_upsert", sql("SELECT user_id AS project_id, max(event_id) AS last_event, count(*) AS events FROM events GROUP BY 1"))
@@ -303,10 +306,7 @@ CTES["rdt"] = (("timely",), "SELECT *, row_number() OVER (PARTITION BY project_i
 @query("l3_watermarked_snapshots", sql(FOLD_BODY.replace("rd ", "rdt "), "rdt", recursive=True))
 def _(t):
     """The last file is hours behind the watermark: none of its rows may become a version or change the state."""
-    out, cp = L.fresh(t.spark, "l3")
-    r = _readings(t, late=True).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    L.run_available(L.stream_snapshots(r, FOLD, watermark="1 hour"), out, cp)
-    return t.spark.read.parquet(out).select(*FOLD_COLS)
+    return _stream_versions(t, "l3", late=True, watermark="1 hour")
 
 
 @query("l4_stream_progress", sql(MERGED, "upd"))

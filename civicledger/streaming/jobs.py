@@ -25,8 +25,9 @@ def stream_snapshots(updates: DataFrame, fields: dict[str, float], watermark: st
     """Accepted versions of a full-state update stream. The state is the last accepted version of each
     project; the key has one writer, so concurrent updates are serialised. With a watermark, rows later
     than it are dropped before they reach the state (the one deliberate difference from stamping
-    arrival time): Spark filters late rows for a grouped state that has an event-time timeout. No
-    timeout is ever set, so the state itself does not expire."""
+    arrival time). Spark filters late rows for a grouped state that has an event-time timeout, but by the
+    watermark of the batch before; rows between that and the present one are dropped here. No timeout is
+    ever set, so the state itself does not expire."""
     names, tol = list(fields), np.array(list(fields.values()))
     stream = updates.withWatermark(event_ts, watermark) if watermark else updates
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
@@ -34,6 +35,10 @@ def stream_snapshots(updates: DataFrame, fields: dict[str, float], watermark: st
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = last = np.array(state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values([event_ts, "update_id"], kind="stable")
+        if watermark:
+            rows = rows[rows[event_ts] > pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]
+            if rows.empty:
+                return
         kept, last = K.kept_rows(rows[names].to_numpy(float), last, tol)
         out = rows.iloc[kept][["project_id", event_ts, "update_id", *names]].copy()
         summary = []
