@@ -127,13 +127,13 @@ def document_words(t, analyzer="light"):
 @query("g5_full_text_search", sql(f"""WITH x AS (SELECT project_id, project_title, implementing_agency, mp_name, ' ' || array_to_string({TOK % ('(' + DOC + ')')}, ' ') || ' ' AS line FROM projects)
   SELECT project_id FROM x WHERE (contains(line, ' furniture ') AND contains(line, ' public work ') AND NOT contains(line, ' low ')) OR contains(line, ' block 3 ')""", "projects"))
 def _(t):
-    grams = t.stored("project-grams", lambda path: P.build_trigrams(t["projects"], "project_id", P.identifying_text(), path))
+    grams = t.stored("project-blocks", lambda path: P.build_blocks(t["projects"], "project_id", P.identifying_text(), path))
     return P.search_projects(project_words(t), grams, t["projects"], 'furniture "public works" -low OR "block 3"')
 
 
 @query("g5_substring_search", sql("""SELECT project_id FROM projects WHERE project_title ILIKE '%ery works for customer#00000001%' OR project_code ILIKE '%ery works for customer#00000001%'""", "projects"))
 def _(t):
-    grams = t.stored("project-grams", lambda path: P.build_trigrams(t["projects"], "project_id", P.identifying_text(), path))
+    grams = t.stored("project-blocks", lambda path: P.build_blocks(t["projects"], "project_id", P.identifying_text(), path))
     return P.search_projects(project_words(t), grams, t["projects"], "ery works for Customer#00000001")
 
 
