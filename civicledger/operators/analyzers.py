@@ -2,13 +2,18 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from civicledger import fixed_values as fv
-from civicledger.operators.search import SUFFIX
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -53,11 +58,36 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(T.StringType())
-def stems(words: pd.Series) -> pd.Series:
+def _stemmed(words: pd.Series, stem_of: Callable[[str], str]) -> pd.Series:
     """Each distinct word of a batch is stemmed once."""
     codes, distinct = pd.factorize(words)
-    return pd.Series([stem(w) for w in distinct], dtype=object).take(codes).reset_index(drop=True)
+    return pd.Series([stem_of(w) for w in distinct], dtype=object).take(codes).reset_index(drop=True)
+
+
+@F.pandas_udf(T.StringType())
+def stems(words: pd.Series) -> pd.Series:
+    return _stemmed(words, stem)
+
+
+# ---- light stems ---------------------------------------------------------------------------------
+
+LIGHT_ENDINGS = ("ings", "edly", "ing", "ed", "es", "s")
+
+
+@lru_cache(1 << 18)
+def light_stem(word: str) -> str:
+    """A lower-case word without its longest ending that has three letters before it."""
+    for ending in LIGHT_ENDINGS:
+        if word.endswith(ending):
+            before = word[:-len(ending)]
+            if len(before) >= 3 and all(unicodedata.category(c)[0] == "L" for c in before[-3:]):
+                return before
+    return word
+
+
+@F.pandas_udf(T.StringType())
+def light_stems(words: pd.Series) -> pd.Series:
+    return _stemmed(words, light_stem)
 
 
 # ---- analyzers -----------------------------------------------------------------------------------
@@ -70,7 +100,7 @@ def light_words(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, pos, term): lightly stemmed words; positions count the words that are left."""
     left = F.filter(_words(text), lambda w: ~w.isin(fv.STOP_WORDS))
     each = df.select(F.col(key).alias("key"), F.posexplode(left).alias("pos", "term"))
-    return each.select("key", "pos", F.regexp_replace("term", SUFFIX, "").alias("term"))
+    return each.select("key", "pos", light_stems("term").alias("term"))
 
 
 def english_words(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -81,3 +111,64 @@ def english_words(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 ANALYZERS = {"light": light_words, "english": english_words}
+
+
+# ---- packed words --------------------------------------------------------------------------------
+
+class Packing(NamedTuple):
+    """What an analyzer does with the words of a text."""
+    stem: Callable[[str], str]
+    stop: frozenset[str]
+    gaps: bool          # stop words keep their positions
+
+
+PACKINGS = {"light": Packing(light_stem, frozenset(fv.STOP_WORDS), False), "english": Packing(stem, frozenset(fv.ENGLISH_STOP_WORDS), True)}
+
+#: Words that are packed together. A longer text is a run of its own, never cut.
+RUN = 1 << 20
+
+
+def _pack(keys: pa.Array, words: pa.Array, how: Packing) -> list[pa.Array]:
+    """Terms of a run of documents with the documents and positions of each, in order."""
+    spelled = words.flatten().dictionary_encode()
+    codes, forms = spelled.indices.to_numpy(), spelled.dictionary.to_pylist()
+    doc = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    stopped = np.array([w in how.stop for w in forms], bool)
+    counted = (np.array([w != "" for w in forms], bool) & (how.gaps | ~stopped))[codes]
+    doc, codes = doc[counted], codes[counted]
+    pos = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(keys)))[doc]
+    kept = ~stopped[codes]
+    doc, codes, pos = doc[kept], codes[kept], pos[kept]
+    number = {"": 0}        # no word is empty: this term holds every document
+    terms = np.array([0 if w == "" or no else number.setdefault(how.stem(w), len(number)) for w, no in zip(forms, stopped)], np.int64)
+    term = terms[codes]
+    order = np.argsort(term, kind="stable")
+    sizes = np.bincount(term, minlength=len(number))
+    sizes[0] = len(keys)
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    held = np.concatenate([np.arange(len(keys)), doc[order]])
+    pos = np.concatenate([np.zeros(len(keys), np.int64), pos[order]])
+    return [pa.array(list(number), pa.string()), pa.ListArray.from_arrays(at, keys.take(pa.array(held))), pa.ListArray.from_arrays(at, pa.array(pos, pa.int32()))]
+
+
+def packed_words(df: DataFrame, key: str, text: Column, analyzer: str) -> DataFrame:
+    """(term, keys, at): the words of an analyzer, a row for each term of a run of documents. ``keys`` and ``at``
+    have an entry for each place of the term, so far fewer rows are moved and sorted. The empty term holds
+    every document once, those without a word too. Texts are dealt out evenly first: a table in one row
+    group would be one task's work."""
+    how = PACKINGS[analyzer]
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("keys", T.ArrayType(df.schema[key].dataType)), T.StructField("at", T.ArrayType(T.IntegerType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = batch.columns
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64))
+            first = 0
+            while first < len(keys):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + RUN, "right")))
+                yield pa.RecordBatch.from_arrays(_pack(keys[first:last], words[first:last], how), ["term", "keys", "at"])
+                first = last
+
+    dealt = df.select(F.col(key).alias("key"), text.alias("text")).repartition("key")
+    return dealt.select("key", F.split(F.lower("text"), WORD_BREAK).alias("words")).mapInArrow(pack, schema)
